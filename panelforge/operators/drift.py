@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.core.session import cut
 from panelforge.functions.exprs import NUMBER, integral_text, strip
 from panelforge.operators.matching import best_matching
 
@@ -109,11 +110,15 @@ def rename_candidates(fields: DataFrame, diff: DataFrame, mapping: DataFrame, *,
     mapped = (
         _canonicals(gone, mapping).withColumnRenamed("field", "old_field").join(_canonicals(new, mapping).withColumnRenamed("field", "new_field"), ["file_id", "canonical"]).select("file_id", "old_field", "new_field").distinct()
     )
-    one = fields.filter(F.col("type").isNotNull() & F.col("subject_key").isNotNull()).groupBy("file_id", "field", "subject_key").agg(F.min("canon").alias("canon"))
-    old_values = gone.filter("same_wave").select("file_id", "prev_file_id", F.col("field").alias("old_field")).join(one.withColumnsRenamed({"file_id": "prev_file_id", "field": "old_field"}), ["prev_file_id", "old_field"]).select("file_id", "old_field", "subject_key", "canon")
-    new_values = new.filter("same_wave").select("file_id", F.col("field").alias("new_field")).join(one.withColumnRenamed("field", "new_field"), ["file_id", "new_field"]).select("file_id", "new_field", "subject_key", "canon")
+    # the values of vanished and new fields only, read in one pass and written once, as both joins below need them
+    wanted = gone.filter("same_wave").select(F.col("prev_file_id").alias("of_file"), "field", "file_id", F.lit(True).alias("is_old"))
+    wanted = wanted.unionByName(new.filter("same_wave").select(F.col("file_id").alias("of_file"), "field", "file_id", F.lit(False).alias("is_old")))
+    valued = fields.filter(F.col("type").isNotNull() & F.col("subject_key").isNotNull()).select(F.col("file_id").alias("of_file"), "field", "subject_key", "canon")
+    values = cut(valued.join(wanted, ["of_file", "field"]).groupBy("file_id", "is_old", "field", "subject_key").agg(F.min("canon").alias("canon")))
+    old_values = values.filter("is_old").select("file_id", F.col("field").alias("old_field"), "subject_key", "canon")
+    new_values = values.filter("NOT is_old").select("file_id", F.col("field").alias("new_field"), "subject_key", "canon")
     agree = old_values.join(new_values, ["file_id", "subject_key", "canon"]).groupBy("file_id", "old_field", "new_field").agg(F.count(F.lit(1)).alias("agree"))
-    agree = agree.filter(F.col("agree") >= least_shared)
+    agree = cut(agree.filter(F.col("agree") >= least_shared))
     shared = (
         agree.select("file_id", "old_field", "new_field").join(old_values.drop("canon"), ["file_id", "old_field"]).join(new_values.drop("canon"), ["file_id", "new_field", "subject_key"]).groupBy("file_id", "old_field", "new_field").agg(F.count(F.lit(1)).alias("shared"))
     )
@@ -136,8 +141,10 @@ def schema_changes(records: DataFrame, mapping: DataFrame, **options) -> DataFra
     are all null has no type and is never retyped; series of one file have no change; an empty table gives none.
     """
     fields = read_fields(records.filter(F.col("file_id").isNotNull()))
-    diff = field_steps(profile_fields(fields), file_steps(records))
-    renamed = best_matching(rename_candidates(fields, diff, read_mapping(mapping), **options), "file_id").select("file_id", "old_field", "new_field")
+    # written once: one row per file and field, small beside the records
+    diff = cut(field_steps(cut(profile_fields(fields)), cut(file_steps(records))))
+    edges = cut(rename_candidates(fields, diff, read_mapping(mapping), **options))
+    renamed = cut(best_matching(edges, "file_id").select("file_id", "old_field", "new_field"))
     old_of = renamed.select("file_id", F.col("old_field").alias("field"), F.col("new_field").alias("went_to"))
     new_of = renamed.select("file_id", F.col("new_field").alias("field"), F.col("old_field").alias("came_from"))
     state = diff.join(old_of, ["file_id", "field"], "left").join(new_of, ["file_id", "field"], "left")
@@ -203,7 +210,7 @@ def unify_records(records: DataFrame, mapping: DataFrame, changes: DataFrame) ->
     of a record under one unified name keep the value that sorts first. Records without a readable payload stay,
     with nulls. The canonical features are as many as the dictionary lists, a bound set by its width.
     """
-    lineage = field_lineage(records, mapping, changes)
+    lineage = cut(field_lineage(records, mapping, cut(changes)))
     wide = sorted(r[0] for r in read_mapping(mapping).select("canonical").distinct().collect())
     fields = read_fields(records.filter(F.col("file_id").isNotNull())).select("record_id", "file_id", "field", "canon")
     unified = fields.join(lineage, ["file_id", "field"])
