@@ -186,6 +186,8 @@ def spam_scores(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-chars // block_chars))
     blocked = docs.filter("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).cast("int"))
+    # as many partitions as blocks, so that a task's share does not grow with the corpus
+    blocked = blocked.repartition(n_blocks, "block")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = block_counts(pdf["text"].tolist())
@@ -193,7 +195,7 @@ def spam_scores(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     own = blocked.groupBy("block").applyInPandas(count, "block int, key long, n long")
     # a key comes once from a block, so a group of this window has at most as many rows as there are blocks
-    global_counts = own.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).select("block", "key", "total")
+    global_counts = own.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).select("block", "key", "total").repartition(n_blocks, "block")
 
     def score(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         b = parse(pdf["text"].tolist())
