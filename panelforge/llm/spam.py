@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,11 @@ URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 MARKUP = re.compile(r"</?\w+\b[^<>]*>|\bhref\s*=")
 WORD = re.compile(r"[^\W\d_]+")
 # Lines of a ruling that are lists by nature: labelled catchwords and panels, exhibits (B7 - ...), citations with a year.
+_LABELS = r"^\s*(?:catchwords|keywords|stichw[oö]rter|stichworte|schlagw[oö]rter|schlagworte|mots[- ]cl[ée]s|authorities|before|besetzung|composition)\b"
+LABEL = re.compile(_LABELS, re.I)
 APPARATUS = re.compile(
-    r"^\s*(?:catchwords|keywords|stichw[oö]rter|stichworte|schlagw[oö]rter|schlagworte|mots[- ]cl[ée]s|authorities|before|besetzung|composition)\b"
-    r"|^\s*[A-Z]{1,2}\d{1,3}\s*[-:–.)]?\s"
-    r"|[\[(](?:1[5-9]|20)\d\d[\])]\s*(?:\w+\s*){0,4}\d*\s*$",
+    _LABELS + r"|^\s*[A-Z]{1,2}\d{1,3}\s*[-:–.)]?\s"
+    r"|[\[(](?:1[5-9]|20)\d\d[\])]\s*(?:\w+\s+){0,4}\w*\s*$",
     re.I,
 )
 _LEFT, _RIGHT, _TOTAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -66,10 +68,16 @@ class _Block:
     exempt: np.ndarray = None
 
 
-def parse(texts: list[str | None]) -> _Block:
-    """Split texts into lines and words. A link counts as a word of its own but has no neighbours."""
-    ids: dict[str, int] = {}
-    flat: list[int] = []
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (sorting beats numpy's hash table here)."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
+def parse(texts: list[str | None], *, judge: bool = True) -> _Block:
+    """Split texts into lines and words. A link counts as a word of its own but has no neighbours. Lines of more than
+    25 words are apparatus by their label only. ``judge=False`` leaves out what only the scoring needs."""
+    found: list[list[str]] = []
     counts, docs, links, tags, exempt = [], [], [], [], []
     for d, text in enumerate(texts):
         if not text:
@@ -86,14 +94,18 @@ def parse(texts: list[str | None]) -> _Block:
             own = WORD.findall(ln.lower())
             if not own and not n_links:
                 continue
-            flat += [ids.setdefault(w, len(ids)) for w in own]
+            found.append(own)
             counts.append(len(own))
             docs.append(d)
-            links.append(n_links)
-            tags.append(ln.count("#"))
-            exempt.append(APPARATUS.search(raw) is not None)
+            if judge:
+                links.append(n_links)
+                tags.append(ln.count("#"))
+                exempt.append((APPARATUS.search(raw) if len(own) <= 25 else LABEL.match(raw)) is not None)
     counts = np.array(counts, np.int64)
-    return _Block(list(ids), np.array(flat, np.int64), np.repeat(np.arange(len(counts)), counts), np.array(docs, np.int64), np.array(links, np.int64), np.array(tags, np.int64), np.array(exempt, bool))
+    vocabulary = sorted(set(chain.from_iterable(found)))
+    ids = {w: i for i, w in enumerate(vocabulary)}
+    flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(found)), np.int64)
+    return _Block(vocabulary, flat, np.repeat(np.arange(len(counts)), counts), np.array(docs, np.int64), np.array(links, np.int64), np.array(tags, np.int64), np.array(exempt, bool))
 
 
 def _pairs(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,10 +135,10 @@ TOTAL_KEY = 0
 
 def block_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Keys and numbers of documents: of each pair, of each word as a left and as a right neighbour, and of all pairs."""
-    b = parse(texts)
+    b = parse(texts, judge=False)
     left, right, line = _pairs(b)
     n = max(1, len(b.vocabulary))
-    code = np.unique((b.doc_of_line[line] * n + left) * n + right) if len(left) else np.zeros(0, np.int64)
+    code = _distinct((b.doc_of_line[line] * n + left) * n + right)
     pair, times = np.unique(code % (n * n), return_counts=True)
     h = _hashes(b.vocabulary)
     lw, rw = pair // n, pair % n
