@@ -47,7 +47,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, codes:
 
 def clean_types(df: DataFrame, *, drop_null_fraction: float | None = 1.0, drop_if_constant: bool = False, drop_if_unique: bool = False, datetime_format: str | None = None, cast_to_str: bool = False, numeric_to_float32: bool = False) -> DataFrame:
     """Texts that mean missing become null; a text column becomes number or timestamp if every value is one; columns
-    are dropped that are null in at least ``drop_null_fraction`` (1.0: all) of rows, constant, or text unique in each row.
+    are dropped that are null in at least ``drop_null_fraction`` (1.0: all) of rows, constant, or of text that differs in every row.
 
     One job profiles all columns. NaN becomes null. With ``cast_to_str`` other types than numbers, booleans and
     timestamps become text; with ``numeric_to_float32`` numbers become floats. An empty table keeps its columns.
@@ -71,7 +71,10 @@ def clean_types(df: DataFrame, *, drop_null_fraction: float | None = 1.0, drop_i
         exprs += [F.count_if(strip(F.col(quoted(c))).rlike(NUMBER)).alias(f"num{i}"), F.count(moment(c)).alias(f"time{i}")]
     p = tidy.agg(*exprs).first()
     n = p["n"]
-    unique = {c for c in texts if drop_if_unique and n and tidy.agg(F.count_distinct(quoted(c))).first()[0] == n}
+    # a text column that stays text and has as many values as there are rows
+    stays = [c for i, c in enumerate(texts) if drop_if_unique and n and p[f"c{df.columns.index(c)}"] == n and n not in (p[f"num{i}"], p[f"time{i}"])]
+    distinct = tidy.agg(*(F.count_distinct(quoted(c)) for c in stays)).first() if stays else []
+    unique = {c for c, k in zip(stays, distinct) if k == n}
     out = []
     for i, f in enumerate(df.schema):
         there, c = p[f"c{i}"], F.col(quoted(f.name))

@@ -128,20 +128,26 @@ def mice(df: DataFrame, columns: Sequence[str] | None = None, *, iterations: int
             donors = sorted((r["p"], r["y"]) for r in seen.filter(F.col("p").isin(sorted(set(edges)))).groupBy("p").agg(F.min("y").alias("y")).collect())
             points, values = np.array([p for p, _ in donors]), np.array([y for _, y in donors], float)
             k, salt = min(mean_match_candidates, len(donors)), seed * 1000 + step * 100 + i
-
-            @F.pandas_udf("double")
-            def match(p: pd.Series, row: pd.Series, points=points, values=values, k=k, salt=salt) -> pd.Series:
-                at = np.searchsorted(points, p.to_numpy())
-                low = np.clip(at - (k + 1) // 2, 0, len(points) - k)
-                pick = (row.to_numpy(np.int64) ^ np.int64(salt * 2654435761 % (1 << 61))) % k
-                return pd.Series(values[low + pick])
-
+            match = _matcher(points, values, k, salt)
             new = F.when(F.col(f"__gap_{i}"), match(prediction, F.col("__row"))).otherwise(F.col(quoted(c)))
             filled = filled.select(*((new.alias(c) if x == c else F.col(quoted(x))) for x in filled.columns))
         filled = cut(filled)
     return filled.select(*(quoted(c) for c in df.columns))
 
 
+def _matcher(points: np.ndarray, values: np.ndarray, k: int, salt: int):
+    """The value of one of the ``k`` donors nearest to a prediction, chosen by the row's hash."""
+
+    @F.pandas_udf("double")
+    def match(p: pd.Series, row: pd.Series) -> pd.Series:
+        at = np.searchsorted(points, p.to_numpy())
+        low = np.clip(at - (k + 1) // 2, 0, len(points) - k)
+        pick = (row.to_numpy(np.int64) ^ np.int64(salt * 2654435761 % (1 << 61))) % k
+        return pd.Series(values[low + pick])
+
+    return match
+
+
 def _regression(rows: DataFrame, target: str, others: Sequence[str]) -> np.ndarray:
     """Ridge-stabilised least squares from one aggregate of cross products."""
     terms = [F.lit(1.0), *(F.col(quoted(x)).cast("double") for x in others)]
