@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.core.errors import InputValidationError
+from panelforge.core.session import cut
 from panelforge.functions.exprs import NUMBER, NUMERIC, integral_text, not_nan, quoted, strip
 
 CODE_IN_BRACKETS = r"[\(\[\{]\s*([+-]?\d+(?:\.\d*)?)\s*[\)\]\}]"
@@ -172,7 +173,8 @@ def quality_profile(table: DataFrame, codebook: DataFrame, *, load: str, series:
     if not book:
         raise InputValidationError("the codebook names no column of the table")
     own = table.select(F.col(quoted(load)).cast("long").alias("load_id"), F.col(quoted(series)).cast("long").alias("series"), F.col(quoted(step)).cast("long").alias("step"), *(F.col(quoted(r["column"])) for r in book if r["column"] not in ("load_id", "series", "step")))
-    counts = value_counts(own, book, ["load_id", "series", "step"])
+    # written once: the findings, the curves and the sampling of the range sort all read the counts, not the table
+    counts = cut(value_counts(own, book, ["load_id", "series", "step"]))
     n = F.col("cnt")
     basic = counts.groupBy("load_id", "series", "step", "column_name", "is_number").agg(
         F.sum(n).alias("n_rows"),
