@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.core.errors import InputValidationError
+from panelforge.operators.ranks import prefix_counts
 
 ALIASES = {"auc_roc": "auroc", "roc_auc": "auroc", "gmean": "geometric_mean", "geo_mean": "geometric_mean", "average_precision": "auprc", "f1": "f1_macro", "precision": "precision_macro", "recall": "recall_macro"}
 CONFUSION = ("accuracy", "balanced_accuracy", "f1_macro", "f1_micro", "f1_weighted", "precision_macro", "precision_micro", "precision_weighted", "recall_macro", "recall_micro", "recall_weighted", "geometric_mean", "matthews_corrcoef", "cohen_kappa")
@@ -62,11 +63,10 @@ def from_confusion(c: np.ndarray, name: str) -> float:
 def ranked_scores(scores: DataFrame) -> tuple[float, float]:
     """(area under the ROC curve, average precision) of rows (y 0/1, score), ties sharing one threshold.
 
-    Rows are reduced to counts per distinct score; the window sees these.
+    Rows are reduced to counts per distinct score; prefix counts over range-sorted scores give the thresholds.
     """
-    per = scores.groupBy("score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    w = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = per.select("pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    per = scores.groupBy((-F.col("score")).alias("s")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("all", F.lit(0))
+    c = prefix_counts(per, ["all"], "s", ["pos", "neg"]).select("pos", "neg", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp"))
     r = c.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("area"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap")).first()
     if not r["p"] or not r["n"]:
         return float("nan"), float("nan")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.core.errors import InputValidationError
+from panelforge.operators.ranks import exact_rank
 
 
 def parse_split(value: str | float | None) -> float | None:
@@ -30,27 +31,20 @@ def parse_split(value: str | float | None) -> float | None:
 
 
 def with_folds(df: DataFrame, label: str, folds: int, seed: int, *keys: str) -> DataFrame:
-    """Column ``fold``: rows of a class are dealt evenly in the order of a hash of ``keys`` and the seed.
-
-    Rows are ranked within hash buckets of their class, so no class is sorted in one task; fold sizes then differ by
-    at most the number of buckets, one for classes of under 10000 rows.
-    """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    least = min(counts.values(), default=0)
+    """Column ``fold``: the rows of a class are dealt evenly by their exact rank in the order of a hash of ``keys`` and the
+    seed, so fold sizes within a class differ by one at most, and no class is sorted in one task."""
+    least = min((r[1] for r in df.groupBy(label).count().collect()), default=0)
     if folds < 2 or folds > least:
         raise InputValidationError(f"{folds} folds need as many rows of each class; the smallest class has {least}")
-    buckets = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, max(1, n // 10_000))))[F.col(label)]
-    h = F.xxhash64(*keys, F.lit(seed))
-    df = df.withColumn("__h", h).withColumn("__b", F.pmod("__h", buckets))
-    w = Window.partitionBy(label, "__b").orderBy("__h", *keys)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) + F.col("__b"), F.lit(folds)).cast("int")).drop("__h", "__b")
+    ranked = exact_rank(df, [label], list(keys), seed=seed, rank="__rank")
+    return ranked.withColumn("fold", F.pmod("__rank", F.lit(folds)).cast("int")).drop("__rank", "group_size")
 
 
 def with_shuffles(df: DataFrame, label: str, share: float, repeats: int, seed: int, *keys: str) -> DataFrame:
     """Column ``test_in``: the repeats in whose test part a row stands; each class gives its share, rounded, at least one."""
-    out = df.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(label)))
-    sets = []
+    out = df.withColumn("test_in", F.array().cast("array<int>"))
     for k in range(repeats):
-        rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(*keys, F.lit(seed + 1009 * k)), *keys))
-        sets.append(F.when(rank <= F.greatest(F.lit(1), F.round(F.col("__n") * share)), k))
-    return out.withColumn("test_in", F.array_compact(F.array(*sets))).drop("__n")
+        out = exact_rank(out, [label], list(keys), seed=seed + 1009 * k, rank="__rank")
+        inside = F.col("__rank") < F.greatest(F.lit(1), F.round(F.col("group_size") * share))
+        out = out.withColumn("test_in", F.when(inside, F.array_append("test_in", F.lit(k))).otherwise(F.col("test_in"))).drop("__rank", "group_size")
+    return out

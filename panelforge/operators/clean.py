@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.core.errors import InputValidationError
+from panelforge.core.session import cut
 from panelforge.functions.exprs import NUMBER, NUMERIC, integral_text, is_missing, not_nan, numeric, quoted, strip
+from panelforge.operators.ranks import prefix_counts
 
 # Texts that readers of delimited files take for a missing value.
 NULL_TEXTS = ("", "NA", "N/A", "NaN", "nan", "-NaN", "-nan", "null", "NULL", "None", "n/a", "<NA>", "#N/A", "#NA", "1.#IND", "-1.#IND", "1.#QNAN", "-1.#QNAN", "#N/A N/A")
@@ -175,8 +177,8 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], *, threshold: float =
     """(feature_a, feature_b, n, rho, abs_rho) of all column pairs over the rows where both have a number.
 
     Ranks are average ranks within the pair's own complete rows, as pairwise deletion asks for. Values are reduced to
-    counts per (pair, value a, value b) before ranking; a rank is then a prefix sum over distinct values, so windows see distinct
-    values, not rows. Fewer than two rows or a constant column give no pair.
+    counts per (pair, value a, value b) before ranking; a rank is then a prefix count
+    over range-sorted distinct values, so no pair is ranked in one task. Fewer than two rows or a constant column give no pair.
     """
     names = sorted(columns)
     pairs = list(combinations(names, 2))
@@ -188,10 +190,11 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str], *, threshold: float =
     rows = base.select(F.explode(cells).alias("p")).select("p.*").filter("x IS NOT NULL AND y IS NOT NULL")
     counts = rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
+    counts = cut(counts)
+
     def ranks(value: str) -> DataFrame:
-        per = counts.groupBy("pair", value).agg(F.sum("n").alias("m"))
-        before = F.coalesce(F.sum("m").over(Window.partitionBy("pair").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return per.select("pair", value, (before + (F.col("m") + 1) / 2).alias(f"r{value}"))
+        per = prefix_counts(counts.groupBy("pair", value).agg(F.sum("n").alias("m")), ["pair"], value, ["m"])
+        return per.select("pair", value, (F.col("m_before") + (F.col("m") + 1) / 2).alias(f"r{value}"))
 
     ranked = counts.join(ranks("x"), ["pair", "x"]).join(ranks("y"), ["pair", "y"])
     s = lambda e: F.sum(F.expr(e))

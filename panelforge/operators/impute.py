@@ -15,6 +15,7 @@ from panelforge.core.errors import InputValidationError
 from panelforge.core.session import cut
 from panelforge.functions.exprs import FLOATS, NUMERIC, not_nan, quoted
 from panelforge.operators.aggregate import missing_cells
+from panelforge.operators.ranks import exact_quantiles
 
 SIMPLE = ("mean_imputation", "median_imputation", "most_frequent_imputation", "constant_imputation")
 IMPUTERS = (*SIMPLE, "mice_imputation")
@@ -44,10 +45,7 @@ def impute(df: DataFrame, imputer: str, *, columns: Sequence[str] | None = None,
             return df
         chosen = numbers
     value = {c: not_nan(F.col(quoted(c)), df.schema[c].dataType) for c in chosen}
-    how = {"mean_imputation": F.avg, "median_imputation": F.median, "most_frequent_imputation": lambda c: F.mode(c, True)}[imputer]
-    # the fill values are one row; they are read once and become literals of the plan
-    row = df.agg(*(how(value[c]).alias(f"f{i}") for i, c in enumerate(chosen))).first()
-    fill = {c: row[i] for i, c in enumerate(chosen) if row[i] is not None}
+    fill = _fills(df, chosen, imputer)
     out = []
     for c in df.columns:
         if c not in fill:
@@ -59,6 +57,32 @@ def impute(df: DataFrame, imputer: str, *, columns: Sequence[str] | None = None,
     return df.select(*out)
 
 
+def _fills(df: DataFrame, columns: Sequence[str], imputer: str) -> dict:
+    """The fill value of each column that has any value; a row per column reaches the driver.
+
+    Means are one aggregate. Medians and modes are taken from counts per (column, value), so a column with many values
+    is never held in one task.
+    """
+    value = {c: not_nan(F.col(quoted(c)), df.schema[c].dataType) for c in columns}
+    if imputer == "mean_imputation":
+        row = df.agg(*(F.avg(value[c]).alias(f"f{i}") for i, c in enumerate(columns))).first() if columns else []
+        return {c: row[i] for i, c in enumerate(columns) if row[i] is not None}
+    numbers = [c for c in columns if isinstance(df.schema[c].dataType, NUMERIC)]
+    texts = [c for c in columns if c not in numbers] if imputer == "most_frequent_imputation" else []
+    out: dict = {}
+    for own, kind in ((numbers, "double"), (texts, "string")):
+        if not own:
+            continue
+        cells = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), value[c].cast(kind).alias("v")) for c in own))).alias("x")).select("x.*").filter("v IS NOT NULL")
+        counts = cells.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+        if imputer == "median_imputation":
+            best = exact_quantiles(counts, ["c"], "v", "n", [0.5]).select("c", F.col("q0").alias("v"))
+        else:
+            best = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
+        out |= {r["c"]: r["v"] for r in best.collect()}
+    return out
+
+
 def _constant(df: DataFrame, columns: Sequence[str], fill) -> DataFrame:
     if isinstance(fill, str):
         try:
@@ -86,9 +110,9 @@ def _constant(df: DataFrame, columns: Sequence[str], fill) -> DataFrame:
 
 def imputation_report(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: missing cells before and after."""
-    a = missing_cells(before).select(F.col("missing_cells").alias("missing_before"))
-    b = missing_cells(after).select(F.col("missing_cells").alias("missing_after"))
-    return a.join(b)
+    a = missing_cells(before).select(F.lit("missing_before").alias("k"), "missing_cells")
+    b = missing_cells(after).select(F.lit("missing_after").alias("k"), "missing_cells")
+    return a.unionByName(b).agg(*(F.max(F.when(F.col("k") == k, F.col("missing_cells"))).alias(k) for k in ("missing_before", "missing_after")))
 
 
 def mice(df: DataFrame, columns: Sequence[str] | None = None, *, iterations: int = 5, num_datasets: int = 1, dataset_index: int = 0, mean_match_candidates: int = 5, random_state: int = 42) -> DataFrame:

@@ -133,16 +133,19 @@ def range_curves(counts: DataFrame) -> DataFrame:
     ).select("column_name", "series", "x.step", "val", "x.n_cur", "x.n_prev")
     both = both.groupBy("column_name", "series", "step", "val").agg(F.sum("n_cur").alias("n_cur"), F.sum("n_prev").alias("n_prev"))
     order = ["column_name", "series", "step", "val"]
-    segments = both.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_segments, SEGMENT_SCHEMA)
+    segments = cut(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_segments, SEGMENT_SCHEMA))
+    # the totals of segments, a row each, are added up apart from the segments, whose values stay where they are
+    place = ["column_name", "series", "step", "part", "seq"]
     group = Window.partitionBy("column_name", "series", "step")
     before = group.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return segments.select(
-        "*",
+    offsets = segments.select(
+        *place,
         F.coalesce(F.sum("n_cur").over(before), F.lit(0)).alias("off_cur"),
         F.coalesce(F.sum("n_prev").over(before), F.lit(0)).alias("off_prev"),
         F.sum("n_cur").over(group).alias("all_cur"),
         F.sum("n_prev").over(group).alias("all_prev"),
     )
+    return segments.join(offsets, place)
 
 
 def _distance() -> Column:
