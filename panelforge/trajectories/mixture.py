@@ -112,18 +112,35 @@ def next_parameters(total: np.ndarray, p: Parameters, diagonal: bool, shared: bo
 
 
 def _start(s: np.ndarray, k: int, effects: int, rng: np.random.Generator) -> Parameters:
+    """Starting values from a k-means++ grouping of the subjects' own lines."""
     n, st, stt, sy, sty, syy = s.T
     level, det = sy / n, n * stt - st * st
     slope = np.where(det > 1e-9, (n * sty - st * sy) / np.where(det > 1e-9, det, 1), 0.0)
-    pick = rng.choice(len(s), k, replace=len(s) < k)
-    beta = np.stack([level[pick] - slope[pick] * (st / n)[pick], slope[pick]], 1)
-    spread = max(float((syy.sum() - (sy**2 / n).sum()) / max(n.sum() - len(s), 1)), 0.05 * float(np.var(level)), 1e-3)
+    own = np.stack([level, slope], 1)
+    scale = own.std(0)
+    z = own / np.where(scale > 0, scale, 1.0)
+    centres = [z[rng.integers(len(z))]]
+    for _ in range(k - 1):
+        d = np.min([((z - c) ** 2).sum(1) for c in centres], 0)
+        centres.append(z[rng.choice(len(z), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(z))])
+    c = np.array(centres)
+    for _ in range(10):
+        label = ((z[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        c = np.array([z[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
+    middle = own[label] - np.array([own[label == j].mean(0) if (label == j).any() else own[0] for j in range(k)])[label]
+    c = c * np.where(scale > 0, scale, 1.0)
+    beta = np.stack([c[:, 0] - c[:, 1] * (st.sum() / n.sum()), c[:, 1]], 1)
+    fitted = syy - (sy**2) / n - np.where(det > 1e-9, slope**2 * det / n, 0.0)
+    sigma2 = max(float(np.maximum(fitted, 0).sum() / max(n.sum() - 2 * len(s), 1)), 1e-3)
     cov = np.zeros((k, 2, 2))
     if effects:
-        cov[:, 0, 0] = max(0.3 * float(np.var(level)), 1e-3)
+        cov[:, 0, 0] = max(float(middle[:, 0].var()), 1e-3)
         if effects == 2:
-            cov[:, 1, 1] = max(0.3 * float(np.var(slope)), 1e-4)
-    return Parameters(np.full(k, 1 / k), beta, spread, cov, effects)
+            cov[:, 1, 1] = max(0.5 * float(middle[:, 1].var()), 1e-4)
+    else:
+        sigma2 += float(middle[:, 0].var())
+    weight = np.bincount(label, minlength=k) + 1.0
+    return Parameters(weight / weight.sum(), beta, sigma2, cov, effects)
 
 
 def run(s: np.ndarray, p: Parameters, rounds: int, diagonal: bool, shared: bool, tolerance: float) -> tuple[Parameters, float, bool]:
