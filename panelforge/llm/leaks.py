@@ -22,23 +22,29 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 HYPHEN_BREAK = re.compile(r"(?<=\w)[-‐‑¬]\s*\n\s*(?=\w)")
+#: Apostrophes and hyphens within words, and separators within numbers: spelled in many ways or left out.
+JOINT = re.compile(r"['’ʼ`‐‑-](?<=\w.)(?=\w)|[,.](?<=\d.)(?=\d{3}(?!\d))")
 INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 
 
 @dataclass(frozen=True)
 class LeakRules:
     """``m`` words make a test string; an item is aligned when its occurrences cover ``try_share`` of it; runs of at
-    least ``run`` equal words are chained over at most ``item_gap`` and ``doc_gap`` skipped words; a leak holds ``share``
-    of the item's words, or ``long_share`` with one run of ``long_run`` words."""
+    least ``run`` equal words are chained over at most ``item_gap`` and ``doc_gap`` skipped words. A leak is a chain
+    with ``share`` of the item's words (somewhat under half, as redactions hide words) that is dense: of the item's words
+    between its ends it holds ``dense`` with one run of ``dense_run`` words, or ``loose`` with one of ``loose_run``. Texts
+    that share stock phrases only make chains with many gaps and short runs."""
 
     m: int = 6
     try_share: float = 0.25
-    run: int = 4
-    item_gap: int = 6
-    doc_gap: int = 14
-    share: float = 0.5
-    long_share: float = 0.46
-    long_run: int = 9
+    run: int = 3
+    item_gap: int = 8
+    doc_gap: int = 16
+    share: float = 0.47
+    dense: float = 0.85
+    dense_run: int = 6
+    loose: float = 0.75
+    loose_run: int = 13
 
 
 def words_of(text: str | None) -> list[str]:
@@ -49,6 +55,7 @@ def words_of(text: str | None) -> list[str]:
         text = unicodedata.normalize("NFKC", text).translate(INVISIBLE)
     if "\n" in text:
         text = HYPHEN_BREAK.sub("", text)
+    text = JOINT.sub("", text)
     return WORD.findall(text.casefold())
 
 
@@ -189,20 +196,25 @@ class Searcher:
                 n += 1
             runs.append((i, j, n))
         runs.sort()
-        best: list[tuple[int, int]] = []
+        # best chain that ends with each run: value (words less half the skipped item words), words, longest run, start
+        best: list[tuple[float, int, int, int]] = []
         low = 0
         for x, (i, j, n) in enumerate(runs):
             while runs[low][0] + len(item) + r.doc_gap < i:
                 low += 1
-            score, long = n, n
+            top = (float(n), n, n, j)
             for y in range(low, x):
                 i0, j0, n0 = runs[y]
                 gi, gj = i - i0 - n0, j - j0 - n0
                 lap = max(0, -gi, -gj)
-                if i > i0 and j > j0 and gi <= r.doc_gap and gj <= r.item_gap and lap < n and best[y][0] + n - lap > score:
-                    score, long = best[y][0] + n - lap, max(best[y][1], n)
-            best.append((score, long))
-            if score >= r.share * len(item) or score >= r.long_share * len(item) and long >= r.long_run:
+                if i > i0 and j > j0 and gi <= r.doc_gap and gj <= r.item_gap and lap < n:
+                    value = best[y][0] + n - lap - 0.5 * max(0, gj)
+                    if value > top[0]:
+                        top = (value, best[y][1] + n - lap, max(best[y][2], n), best[y][3])
+            best.append(top)
+            _, words, longest, start = top
+            density = words / (j + n - start)
+            if words >= r.share * len(item) and (density >= r.dense and longest >= r.dense_run or density >= r.loose and longest >= r.loose_run):
                 return True
         return False
 
