@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 MARKUP = re.compile(r"</?\w+\b[^<>]*>|\bhref\s*=")
 WORD = re.compile(r"[^\W\d_]+")
+MARKS = frozenset("-/|>:*=+~<&,.;#") | frozenset("–—•·»«")
 # Lines of a ruling that are lists by nature: labelled catchwords and panels, exhibits (B7 - ...), citations with a year.
 _LABELS = r"^\s*(?:catchwords|keywords|stichw[oö]rter|stichworte|schlagw[oö]rter|schlagworte|mots[- ]cl[ée]s|authorities|before|besetzung|composition)\b"
 LABEL = re.compile(_LABELS, re.I)
@@ -39,13 +40,17 @@ _LEFT, _RIGHT, _TOTAL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4E
 class SpamRules:
     """Thresholds; the same at every size of corpus.
 
-    ``least_pmi``: a line whose discounted mean PMI lies below is incoherent. ``repeated_share``: so many of a line's
-    pairs must recur at least ``recurs`` times and in ``recurs_share`` of the document's pairs. ``words_per_link``: up to
-    so many words to a link make a link list. ``discount``: a pair in n documents counts (n - 1) / (n + discount) of its
-    positive PMI. ``least_words``: shorter lines are judged by their links and tags only.
+    ``least_pmi``: a line whose discounted mean PMI lies below is incoherent; ``list_pmi`` holds for lines with a comma to
+    ``1 / list_commas`` words. ``repeated_share``: so many of a line's pairs must recur at least ``recurs`` times and in
+    ``recurs_share`` of the document's pairs, while under ``common_share`` of all documents have them: phrases of the
+    trade may recur. ``words_per_link``: up to so many words to a link make a link list. ``discount``: a pair in n documents
+    counts (n - 1) / (n + discount) of its positive PMI. ``least_words``: shorter lines are judged by links and tags only.
     """
 
     least_pmi: float = 1.15
+    list_pmi: float = 2.0
+    list_commas: float = 0.25
+    common_share: float = 0.01
     repeated_share: float = 0.5
     recurs: int = 4
     recurs_share: float = 0.008
@@ -65,6 +70,8 @@ class _Block:
     doc_of_line: np.ndarray = None
     links: np.ndarray = None  # of each line
     tags: np.ndarray = None
+    commas: np.ndarray = None
+    tokens: np.ndarray = None  # words as they are written, between blanks
     exempt: np.ndarray = None
 
 
@@ -75,10 +82,10 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 
 def parse(texts: list[str | None], *, judge: bool = True) -> _Block:
-    """Split texts into lines and words. A link counts as a word of its own but has no neighbours. Lines of more than
+    """Split texts into lines and words. Links and numbers are words too but have no neighbours. Lines of more than
     25 words are apparatus by their label only. ``judge=False`` leaves out what only the scoring needs."""
     found: list[list[str]] = []
-    counts, docs, links, tags, exempt = [], [], [], [], []
+    counts, docs, links, tags, commas, tokens, exempt = [], [], [], [], [], [], []
     for d, text in enumerate(texts):
         if not text:
             continue
@@ -100,12 +107,15 @@ def parse(texts: list[str | None], *, judge: bool = True) -> _Block:
             if judge:
                 links.append(n_links)
                 tags.append(ln.count("#"))
+                commas.append(ln.count(","))
+                written = raw.split()
+                tokens.append(len(written) - sum(map(MARKS.__contains__, written)))
                 exempt.append((APPARATUS.search(raw) if len(own) <= 25 else LABEL.match(raw)) is not None)
     counts = np.array(counts, np.int64)
     vocabulary = sorted(set(chain.from_iterable(found)))
     ids = {w: i for i, w in enumerate(vocabulary)}
     flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(found)), np.int64)
-    return _Block(vocabulary, flat, np.repeat(np.arange(len(counts)), counts), np.array(docs, np.int64), np.array(links, np.int64), np.array(tags, np.int64), np.array(exempt, bool))
+    return _Block(vocabulary, flat, np.repeat(np.arange(len(counts)), counts), np.array(docs, np.int64), np.array(links, np.int64), np.array(tags, np.int64), np.array(commas, np.int64), np.array(tokens, np.int64), np.array(exempt, bool))
 
 
 def _pairs(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,11 +140,12 @@ def _word_key(word: np.ndarray, side: np.uint64) -> np.ndarray:
         return x ^ (x >> np.uint64(29)) ^ side
 
 
-TOTAL_KEY = 0
+TOTAL_KEY, DOCUMENTS_KEY = 0, 1
 
 
 def block_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and numbers of documents: of each pair, of each word as a left and as a right neighbour, and of all pairs."""
+    """Keys and numbers of documents: of each pair, of each word as a left and as a right neighbour, of all pairs, and of
+    documents with any text."""
     b = parse(texts, judge=False)
     left, right, line = _pairs(b)
     n = max(1, len(b.vocabulary))
@@ -144,15 +155,16 @@ def block_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lw, rw = pair // n, pair % n
     ln, rn = np.bincount(lw, times, n), np.bincount(rw, times, n)
     li, ri = np.flatnonzero(ln), np.flatnonzero(rn)
-    keys = np.concatenate([_pair_key(h[lw], h[rw]), _word_key(h[li], _LEFT), _word_key(h[ri], _RIGHT), np.array([TOTAL_KEY], np.uint64)])
-    return keys.view(np.int64), np.concatenate([times, ln[li], rn[ri], [times.sum()]]).astype(np.int64)
+    keys = np.concatenate([_pair_key(h[lw], h[rw]), _word_key(h[li], _LEFT), _word_key(h[ri], _RIGHT), np.array([TOTAL_KEY, DOCUMENTS_KEY], np.uint64)])
+    documents = len(_distinct(b.doc_of_line))
+    return keys.view(np.int64), np.concatenate([times, ln[li], rn[ri], [times.sum(), documents]]).astype(np.int64)
 
 
 def score_lines(b: _Block, keys: np.ndarray, counts: np.ndarray, rules: SpamRules) -> tuple[np.ndarray, np.ndarray]:
     """For each line its words and whether it is spam."""
     n_lines = len(b.doc_of_line)
     size = np.bincount(b.line, minlength=n_lines) if len(b.line) else np.zeros(n_lines, np.int64)
-    words = size + b.links
+    words = b.tokens
     left, right, line = _pairs(b)
     link_list = (b.links > 0) & (size <= rules.words_per_link * b.links)
     tag_list = (b.tags > 1) & (2 * b.tags >= size)
@@ -171,7 +183,7 @@ def score_lines(b: _Block, keys: np.ndarray, counts: np.ndarray, rules: SpamRule
         lw, rw = code // n, code % n
         seen = count(_pair_key(h[lw], h[rw]).view(np.int64))
         lefts, rights = count(_word_key(h, _LEFT).view(np.int64)), count(_word_key(h, _RIGHT).view(np.int64))
-        total = count(np.array([TOTAL_KEY], np.int64))[0]
+        total, documents = count(np.array([TOTAL_KEY, DOCUMENTS_KEY], np.int64))
         pmi = np.log(seen * total / (lefts[lw] * rights[rw]))
         pmi = np.where(pmi > 0, pmi * np.maximum(seen - 1, 0) / (seen + rules.discount), pmi)
         n_pairs = np.bincount(line, minlength=n_lines)
@@ -179,10 +191,12 @@ def score_lines(b: _Block, keys: np.ndarray, counts: np.ndarray, rules: SpamRule
         doc = b.doc_of_line[line]
         in_doc, where, times = np.unique(doc * len(code) + inverse, return_inverse=True, return_counts=True)
         doc_pairs = np.bincount(doc)
-        often = times[where] >= np.maximum(rules.recurs, rules.recurs_share * doc_pairs[doc])
+        rare = seen <= np.maximum(rules.common_share * documents, 3)
+        often = (times[where] >= np.maximum(rules.recurs, rules.recurs_share * doc_pairs[doc])) & rare[inverse]
         repeated = np.bincount(line, often.astype(float), n_lines) / np.maximum(1, n_pairs)
         long = size >= rules.least_words
-        spam |= long & ~b.exempt & ((mean < rules.least_pmi) | (repeated >= rules.repeated_share) & (size >= 8))
+        listed = b.commas >= rules.list_commas * size
+        spam |= long & ~b.exempt & ((mean < np.where(listed, rules.list_pmi, rules.least_pmi)) | (repeated >= rules.repeated_share) & (size >= 8))
     return words, spam
 
 
