@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.core.errors import InputValidationError
 from panelforge.core.session import cut
 from panelforge.functions.exprs import quoted
 
@@ -19,6 +20,8 @@ def exact_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], *, see
     is kept per group is one count per bucket. Null group values are a group; rows that are equal in ``order`` are
     ranked in any order.
     """
+    if {rank, "group_size"} & set(df.columns):
+        raise InputValidationError(f"columns {rank!r} and 'group_size' must not exist yet")
     keys = [F.col(quoted(c)) for c in order] + ([F.lit(seed)] if seed is not None else [])
     hashed = df.withColumn("__h", F.xxhash64(*keys)).withColumn("__b", F.shiftright("__h", 58))
     sizes = hashed.groupBy(*map(quoted, group), "__b").agg(F.count(F.lit(1)).alias("__n"))
