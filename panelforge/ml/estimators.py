@@ -23,6 +23,7 @@ from panelforge.core.errors import InputValidationError, OperationNotFoundError
 from panelforge.functions.exprs import NUMERIC, not_nan, quoted
 from panelforge.ml import trees
 from panelforge.operators.encode import reduce_row
+from panelforge.operators.impute import fill_values
 
 MAX_CATEGORIES = 1000
 
@@ -39,9 +40,9 @@ class Preprocessor:
         kinds = {c: df.schema[c].dataType for c in self.features}
         numbers = [c for c in self.features if isinstance(kinds[c], (*NUMERIC, T.BooleanType))]
         texts = [c for c in self.features if c not in numbers]
-        aggs = [F.median(not_nan(F.col(quoted(c)).cast("double"))) for c in numbers] + [F.mode(F.col(quoted(c)).cast("string"), True) for c in texts]
-        row = df.agg(*(a.alias(f"f{i}") for i, a in enumerate(aggs))).first() if aggs else []
-        self.fill = {c: (row[i] if row[i] is not None else (0.0 if c in numbers else "")) for i, c in enumerate([*numbers, *texts])}
+        plain = df.select(*(F.col(quoted(c)).cast("double" if c in numbers else "string").alias(c) for c in self.features))
+        found = (fill_values(plain, numbers, "median_imputation") if numbers else {}) | (fill_values(plain, texts, "most_frequent_imputation") if texts else {})
+        self.fill = {c: found.get(c, 0.0 if c in numbers else "") for c in [*numbers, *texts]}
         self.categories = {}
         for c in texts:
             seen = [r[0] for r in df.select(F.coalesce(F.col(quoted(c)).cast("string"), F.lit(self.fill[c])).alias("v")).distinct().orderBy("v").limit(MAX_CATEGORIES + 1).collect()]

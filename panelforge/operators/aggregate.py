@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.core.errors import InputValidationError
+from panelforge.core.session import cut
 from panelforge.functions.exprs import NUMERIC, not_nan, numeric, quoted
 from panelforge.operators.project import numeric_columns, require_columns
+from panelforge.operators.ranks import exact_quantiles
 
 NUMERIC_AGGREGATES = ("mean", "median", "min", "max", "std")
 CATEGORICAL_AGGREGATES = ("mode", "first", "last")
@@ -20,12 +22,13 @@ def _numeric_aggregate(c: Column, how: str) -> Column:
     return {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "std": F.stddev_samp}[how](c)
 
 
-def aggregate_to_cross_section(df: DataFrame, subject: str, *, numeric_cols: Sequence[str] | None = None, categorical_cols: Sequence[str] = (), numeric_agg: str = "mean", categorical_agg: str = "mode", order: str | None = None) -> DataFrame:
+def aggregate_to_cross_section(df: DataFrame, subject: str, *, numeric_cols: Sequence[str] | None = None, categorical_cols: Sequence[str] = (), numeric_agg: str = "mean", categorical_agg: str = "mode", order: str | None = None, hot_rows: int = 1_000_000) -> DataFrame:
     """One row per subject (null is a subject of its own).
 
     Numeric columns, all if none are named, by mean, median, min, max or standard deviation (null for one value); NaN
     counts as null. Categorical columns by mode (ties: the least), or the first or last non-null in the order of the
-    column ``order``, which these two need since rows have no order of their own.
+    column ``order``, which these two need since rows have no order of their own. Medians and modes hold a group's
+    distinct values in memory, so subjects of over ``hot_rows`` rows are aggregated apart, from counts per value.
     """
     if numeric_agg not in NUMERIC_AGGREGATES or categorical_agg not in CATEGORICAL_AGGREGATES:
         raise InputValidationError("unknown aggregate")
@@ -35,21 +38,43 @@ def aggregate_to_cross_section(df: DataFrame, subject: str, *, numeric_cols: Seq
         raise InputValidationError("a column has two roles")
     if categorical_agg != "mode" and categorical_cols and not order:
         raise InputValidationError("first and last need an order column")
-    made = []
+    if not numbers and not categorical_cols:
+        raise InputValidationError("there is no column to aggregate")
     for c in numbers:
         if not isinstance(df.schema[c].dataType, NUMERIC):
             raise InputValidationError(f"{c!r} is not numeric")
-        made.append(_numeric_aggregate(not_nan(F.col(quoted(c)), df.schema[c].dataType), numeric_agg).alias(c))
+    plain = {c: _numeric_aggregate(not_nan(F.col(quoted(c)), df.schema[c].dataType), numeric_agg) for c in numbers}
     for c in categorical_cols:
         v = F.col(quoted(c))
         if categorical_agg == "mode":
-            made.append(F.mode(v, True).alias(c))
+            plain[c] = F.mode(v, True)
         else:
             pick = F.min_by if categorical_agg == "first" else F.max_by
-            made.append(pick(v, F.when(v.isNotNull(), F.struct(F.col(quoted(order)), v))).alias(c))
-    if not made:
-        raise InputValidationError("there is no column to aggregate")
-    return df.groupBy(quoted(subject)).agg(*made)
+            plain[c] = pick(v, F.when(v.isNotNull(), F.struct(F.col(quoted(order)), v)))
+    counted = {c for c in numbers if numeric_agg == "median"} | {c for c in categorical_cols if categorical_agg == "mode"}
+    simple = df.groupBy(quoted(subject)).agg(*(x.alias(c) for c, x in plain.items()))
+    if not counted:
+        return simple
+    hot = cut(df.groupBy(F.col(quoted(subject)).alias("__s")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_rows).select("__s"))
+    if hot.isEmpty():
+        return simple
+    same = F.col(quoted(subject)).eqNullSafe(F.col("__s"))
+    cool = df.join(hot, same, "left_anti").groupBy(quoted(subject)).agg(*(x.alias(c) for c, x in plain.items()))
+    rows = df.join(hot, same, "left_semi")
+    out = rows.groupBy(F.col(quoted(subject)).alias("__s0")).agg(F.lit(1).alias("__one"), *(x.alias(c) for c, x in plain.items() if c not in counted))
+    for i, c in enumerate(plain):
+        if c not in counted:
+            continue
+        value = not_nan(F.col(quoted(c)), df.schema[c].dataType)
+        counts = rows.select(F.col(quoted(subject)).alias("s"), (value.cast("double") if c in numbers else value).alias("v")).filter("v IS NOT NULL").groupBy("s", "v").agg(F.count(F.lit(1)).alias("n"))
+        if c in numbers:
+            best = exact_quantiles(counts, ["s"], "v", "n", [0.5]).withColumnRenamed("q0", c)
+        else:
+            best = counts.groupBy("s").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias(c))
+        best = best.withColumnRenamed("s", f"__s{i + 1}")
+        out = out.join(best, F.col("__s0").eqNullSafe(F.col(f"__s{i + 1}")), "left").drop(f"__s{i + 1}")
+    out = out.select(F.col("__s0").alias(subject), *(F.col(quoted(c)) for c in plain))
+    return cool.unionByName(out)
 
 
 def varying_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -45,7 +45,7 @@ def impute(df: DataFrame, imputer: str, *, columns: Sequence[str] | None = None,
             return df
         chosen = numbers
     value = {c: not_nan(F.col(quoted(c)), df.schema[c].dataType) for c in chosen}
-    fill = _fills(df, chosen, imputer)
+    fill = fill_values(df, chosen, imputer)
     out = []
     for c in df.columns:
         if c not in fill:
@@ -57,7 +57,7 @@ def impute(df: DataFrame, imputer: str, *, columns: Sequence[str] | None = None,
     return df.select(*out)
 
 
-def _fills(df: DataFrame, columns: Sequence[str], imputer: str) -> dict:
+def fill_values(df: DataFrame, columns: Sequence[str], imputer: str) -> dict:
     """The fill value of each column that has any value; a row per column reaches the driver.
 
     Means are one aggregate. Medians and modes are taken from counts per (column, value), so a column with many values

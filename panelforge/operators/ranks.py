@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.core.errors import InputValidationError
 from panelforge.core.session import cut
-from panelforge.functions.exprs import quoted
+from panelforge.functions.exprs import numeric, quoted
 
 
 def exact_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], *, seed: int | None = None, rank: str = "rank") -> DataFrame:
@@ -84,3 +84,10 @@ def exact_quantiles(counts: DataFrame, group: Sequence[str], value: str, n: str,
             at = F.greatest(F.ceil(total * F.lit(float(q))) - 1, F.lit(0))
             made.append(F.max(F.when((lo <= at) & (hi >= at), v)).alias(f"q{i}"))
     return placed.groupBy(*map(quoted, group)).agg(*made)
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(column, q0, q1, ...): exact quantiles of the numbers in each column, all columns in one pass over counts per value."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), numeric(df, c).alias("value")) for c in columns))
+    rows = df.select(F.explode(cells).alias("x")).select("x.*").filter("value IS NOT NULL")
+    return exact_quantiles(rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), ["column"], "value", "n", shares)

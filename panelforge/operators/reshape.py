@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.core.errors import InputValidationError
-from panelforge.functions.exprs import quoted
+from panelforge.functions.exprs import numeric, quoted
 from panelforge.operators.aggregate import duplicate_rows, varying_columns
 from panelforge.operators.project import require_columns
 
@@ -144,7 +144,9 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
 
 def long_to_series(df: DataFrame, subject: str, time: str, values: Sequence[str]) -> DataFrame:
-    """(subject_id, times, series): the rows of each subject in the order of time, values as arrays; bounded by the waves."""
-    row = F.struct(F.col(quoted(time)).cast("double").alias("t"), F.array(*(F.col(quoted(v)).cast("double") for v in values)).alias("v"))
-    out = df.groupBy(F.col(quoted(subject)).alias("subject_id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    """(subject_id, times, series): each subject's values as arrays in the order of time. Repeated rows of a time are
+    averaged first, so a list is as long as the subject has times; null times are left out."""
+    rows = df.select(F.col(quoted(subject)).alias("subject_id"), numeric(df, time).alias("t"), *(numeric(df, v).alias(f"v{i}") for i, v in enumerate(values))).filter("t IS NOT NULL")
+    cells = rows.groupBy("subject_id", "t").agg(F.array(*(F.avg(f"v{i}") for i in range(len(values)))).alias("v"))
+    out = cells.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("rows"))
     return out.select("subject_id", F.col("rows.t").alias("times"), F.col("rows.v").alias("series"))

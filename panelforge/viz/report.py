@@ -14,6 +14,7 @@ from panelforge.functions.exprs import numeric, quoted
 from panelforge.operators.aggregate import class_sizes, class_time_profile, mean_curves, sample_per_class
 from panelforge.operators.clean import profile_columns, time_axis
 from panelforge.operators.project import numeric_columns, require_columns
+from panelforge.operators.ranks import column_quantiles
 
 COLOURS = ("#3366aa", "#cc6633", "#449966", "#aa4488", "#888833", "#338899", "#775599", "#aa7744")
 
@@ -56,8 +57,9 @@ def show_table(df: DataFrame, title: str = "Table report") -> str:
     numbers = numeric_columns(df)
     stats = []
     if numbers:
-        row = df.agg(*(F.percentile(numeric(df, c), F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias(f"q{i}") for i, c in enumerate(numbers))).first()
-        stats = [{"column": c, **dict(zip(("min", "q25", "median", "q75", "max"), row[i] or [None] * 5))} for i, c in enumerate(numbers)]
+        names = ("min", "q25", "median", "q75", "max")
+        found = {r["column"]: r[1:] for r in column_quantiles(df, numbers, (0.0, 0.25, 0.5, 0.75, 1.0)).collect()}
+        stats = [{"column": c, **dict(zip(names, found.get(c, [None] * 5)))} for c in numbers]
     first = [r.asDict() for r in df.limit(10).collect()]
     return page(title, "<h2>Columns</h2>" + html_table(profile) + "<h2>Numbers</h2>" + html_table(stats) + "<h2>First rows</h2>" + html_table(first))
 

@@ -107,6 +107,18 @@ def test_cross_section(spark):
     assert aggregate.aggregate_to_cross_section(df.limit(0), "id", numeric_cols=["v"]).count() == 0
 
 
+def test_hot_subjects_are_aggregated_from_counts(spark):
+    import random
+
+    rng = random.Random(0)
+    data = [(rng.choice([1, 1, 1, 2, None]), rng.choice([rng.random(), None, NAN]), rng.choice("abc"), 1.0) for _ in range(300)]
+    df = spark.createDataFrame(data, "id long, v double, c string, w double")
+    runs = [{r["id"]: tuple(r) for r in aggregate.aggregate_to_cross_section(df, "id", numeric_cols=["v", "w"], categorical_cols=["c"], numeric_agg="median", hot_rows=h).collect()} for h in (10**6, 100, 0)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 3
+    series = {r["subject_id"]: r for r in reshape.long_to_series(spark.createDataFrame([(1, 2, 4.0), (1, 1, 3.0), (1, 2, 6.0), (1, None, 1.0)], "s long, t long, v double"), "s", "t", ["v"]).collect()}
+    assert (series[1]["times"], series[1]["series"]) == ([1.0, 2.0], [[3.0], [5.0]])
+
+
 def test_group_checks(spark):
     df = spark.createDataFrame([(1, "a", None), (1, "a", "x"), (2, "b", "y"), (2, "c", "y"), (3, None, None), (3, None, None)], "id long, p string, q string")
     assert {tuple(r) for r in aggregate.varying_columns(df, ["id"], ["p", "q"]).collect()} == {("p", 1), ("q", 1)}
