@@ -67,7 +67,7 @@ profile AS (
 """
 )
 
-P2_PROFILE = _PROFILE + "SELECT * REPLACE (round(missing_share, 9) AS missing_share, round(ks_distance, 9) AS ks_distance) FROM profile"
+P2_PROFILE = _PROFILE + "SELECT * REPLACE (CAST(step AS bigint) AS step, round(missing_share, 9) AS missing_share, round(ks_distance, 9) AS ks_distance) FROM profile"
 P2_FOUND = (
     _PROFILE
     + """SELECT DISTINCT load_id, column_name, unnest(list_filter([

@@ -160,7 +160,7 @@ def mean_curves(spark, d):
     return rounded(aggregate.mean_curves(clean_panel(spark, d), "subject_id", "wave", SCORES))
 
 
-@query(f"SELECT subject_id, count(*) AS n, round(sum(wave), 7) AS st, round(sum(wave * wave), 7) AS stt, round(sum(depressive_score), 7) AS sy, round(sum(wave * depressive_score), 7) AS sty, round(sum(depressive_score * depressive_score), 7) AS syy FROM ({_CLEAN}) WHERE depressive_score IS NOT NULL AND subject_id IS NOT NULL AND wave IS NOT NULL GROUP BY 1")
+@query(f"SELECT subject_id, count(*) AS n, CAST(sum(wave) AS double) AS st, CAST(sum(wave * wave) AS double) AS stt, round(sum(depressive_score), 7) AS sy, round(sum(wave * depressive_score), 7) AS sty, round(sum(depressive_score * depressive_score), 7) AS syy FROM ({_CLEAN}) WHERE depressive_score IS NOT NULL AND subject_id IS NOT NULL AND wave IS NOT NULL GROUP BY 1")
 def suff_stats_growth(spark, d):
     return rounded(aggregate.growth_statistics(clean_panel(spark, d), "subject_id", "wave", "depressive_score"))
 
@@ -350,7 +350,7 @@ def coalesce_canonical(spark, d):
     return encode.coalesce_family(wide, {"emotion": _IN, "apgehe00": ["apgehe00_w1", "apgehe00_w2"]})
 
 
-@query("SELECT row_id, CASE WHEN non_long__w1__ahcsex00 = 1 THEN 0.0 WHEN non_long__w1__ahcsex00 = 2 THEN 1.0 END AS sex, CASE WHEN apdean00_w1 = 1 THEN 1.0 WHEN apdean00_w1 = 2 THEN 0.0 END AS apdean00_w1 FROM wide_features")
+@query("SELECT row_id, CAST(CASE WHEN non_long__w1__ahcsex00 = 1 THEN 0 WHEN non_long__w1__ahcsex00 = 2 THEN 1 END AS double) AS sex, CAST(CASE WHEN apdean00_w1 = 1 THEN 1 WHEN apdean00_w1 = 2 THEN 0 END AS double) AS apdean00_w1 FROM wide_features")
 def encode_binary(spark, d):
     wide = table(spark, d, "wide_features")
     return wide.select("row_id", encode.binary(wide, "non_long__w1__ahcsex00", {1: 0, 2: 1}).alias("sex"), encode.binary(wide, "apdean00_w1", {1: 1, 2: 0}).alias("apdean00_w1"))
