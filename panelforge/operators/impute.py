@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,9 +120,10 @@ def mice(df: DataFrame, columns: Sequence[str] | None = None, *, iterations: int
 
     Each round regresses every incomplete column on the others. The normal equations are sums over rows, so one
     aggregate a column gives the regression; missing cells then take the observed value of one of the
-    ``mean_match_candidates`` donors whose predictions are nearest. Donors are a quantile grid of at most 1000
-    (prediction, observed value) pairs taken over all complete rows, and choices depend on a hash of the row and the seed, so
-    runs repeat. ``dataset_index`` picks one of ``num_datasets`` imputations, which differ in their seed only.
+    ``mean_match_candidates`` observed rows whose predictions are nearest; of rows that tie for the last places each is
+    as likely. Donors are all observed rows, as exact counts per (prediction, observed value), and choices depend on a hash
+    of the row and the seed, so runs repeat. ``dataset_index`` picks one of ``num_datasets`` imputations, which differ in
+    their seed only.
     """
     if not 0 <= dataset_index < num_datasets or iterations < 1 or mean_match_candidates < 1:
         raise InputValidationError("iterations, candidates and dataset index must be positive and in range")
@@ -146,28 +147,85 @@ def mice(df: DataFrame, columns: Sequence[str] | None = None, *, iterations: int
             prediction = F.lit(float(beta[0]))
             for b, x in zip(beta[1:], others):
                 prediction = prediction + F.lit(float(b)) * F.col(quoted(x))
-            grid = [q / 999 for q in range(1000)]
-            seen = filled.filter(~F.col(f"__gap_{i}")).select(prediction.alias("p"), F.col(quoted(c)).alias("y"))
-            edges = seen.agg(F.percentile_approx("p", grid, 10_000).alias("q")).first()["q"]
-            donors = sorted((r["p"], r["y"]) for r in seen.filter(F.col("p").isin(sorted(set(edges)))).groupBy("p").agg(F.min("y").alias("y")).collect())
-            points, values = np.array([p for p, _ in donors]), np.array([y for _, y in donors], float)
-            k, salt = min(mean_match_candidates, len(donors)), seed * 1000 + step * 100 + i
-            match = _matcher(points, values, k, salt)
-            new = F.when(F.col(f"__gap_{i}"), match(prediction, F.col("__row"))).otherwise(F.col(quoted(c)))
+            seen = filled.filter(~F.col(f"__gap_{i}")).select(prediction.alias("p"), F.col(quoted(c)).cast("double").alias("y"))
+            salt = seed * 1000 + step * 100 + i
+            new = F.when(F.col(f"__gap_{i}"), _matched(seen, prediction, mean_match_candidates, salt)).otherwise(F.col(quoted(c)))
             filled = filled.select(*((new.alias(c) if x == c else F.col(quoted(x))) for x in filled.columns))
         filled = cut(filled)
     return filled.select(*(quoted(c) for c in df.columns))
 
 
-def _matcher(points: np.ndarray, values: np.ndarray, k: int, salt: int):
-    """The value of one of the ``k`` donors nearest to a prediction, chosen by the row's hash."""
+def _matched(seen: DataFrame, prediction: Column, k: int, salt: int, max_donors: int = 200_000) -> Column:
+    """The value that a row with ``prediction`` draws from the rows (p, y) of ``seen``.
+
+    Donors reach the driver as counts per (p, y). More than ``max_donors`` of them are taken in ranges of predictions, one
+    at a time, each with the ``k`` next predictions on both sides, so that all are used and a range decides alone.
+    """
+    counts = seen.groupBy("p", "y").agg(F.count(F.lit(1)).alias("n"))
+    spark, row = seen.sparkSession, F.col("__row")
+    first = counts.limit(max_donors + 1).toPandas()
+    if len(first) <= max_donors:
+        return _matcher(spark, first, k, salt)(prediction, row)
+    counts = cut(counts)
+    parts = -(-counts.count() // max_donors)
+    edges = sorted(set(counts.agg(F.percentile_approx("p", [q / parts for q in range(1, parts)], 10_000).alias("q")).first()["q"]))
+    points = counts.select("p").distinct()
+    out = None
+    for lo, hi in zip([None, *edges], [*edges, None]):
+        kept = F.lit(True)
+        if lo is not None:
+            below = points.filter(F.col("p") < lo).orderBy(F.desc("p")).limit(k).agg(F.min("p")).first()[0]
+            kept = kept & (F.col("p") >= (lo if below is None else below))
+        if hi is not None:
+            above = points.filter(F.col("p") >= hi).orderBy("p").limit(k).agg(F.max("p")).first()[0]
+            kept = kept & (F.col("p") <= (hi if above is None else above))
+        value = _matcher(spark, counts.filter(kept).toPandas(), k, salt)(prediction, row)
+        out = F.when(prediction >= lo, value).otherwise(out) if lo is not None else value
+    return out
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """Well-spread 64-bit numbers of hashes and a salt."""
+    with np.errstate(over="ignore"):
+        x = x.astype(np.int64).view(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def draw_donors(points: np.ndarray, rows: np.ndarray, wanted: np.ndarray, hashes: np.ndarray, k: int, salt: int) -> np.ndarray:
+    """For each of ``wanted`` the number of a donor among its ``k`` nearest.
+
+    ``points`` are the sorted distinct predictions and ``rows`` the donors up to each (from 0). The last point taken may
+    have more donors than places are left: the places go to any of them, each as likely.
+    """
+    k = min(k, int(rows[-1]))
+    lo = np.searchsorted(points, wanted)
+    hi, last = lo.copy(), lo.copy()
+    for _ in range(k):
+        short = rows[hi] - rows[lo] < k
+        down = np.where(lo > 0, wanted - points[np.maximum(lo - 1, 0)], np.inf)
+        up = np.where(hi < len(points), points[np.minimum(hi, len(points) - 1)] - wanted, np.inf)
+        left, right = short & (down < up), short & (down >= up)
+        last = np.where(left, lo - 1, np.where(right, hi, last))
+        lo, hi = lo - left, hi + right
+    inner = rows[hi] - rows[lo] - (rows[last + 1] - rows[last])
+    place = (_mixed(hashes, salt) % np.uint64(k)).astype(np.int64)
+    tied = rows[last] + (_mixed(hashes, ~salt) % (rows[last + 1] - rows[last]).astype(np.uint64)).astype(np.int64)
+    return np.where(place < inner, np.where(last == lo, rows[lo + 1], rows[lo]) + place, tied)
+
+
+def _matcher(spark: SparkSession, donors: pd.DataFrame, k: int, salt: int):
+    """The function that draws a donor's value by prediction and hash of the row."""
+    donors = donors.sort_values(["p", "y"], ignore_index=True)
+    points, at = np.unique(donors["p"].to_numpy(), return_index=True)
+    up_to = np.cumsum(donors["n"].to_numpy())
+    shared = spark.sparkContext.broadcast((points, np.r_[0, up_to[np.r_[at[1:], len(donors)] - 1]], up_to, donors["y"].to_numpy(float)))
 
     @F.pandas_udf("double")
     def match(p: pd.Series, row: pd.Series) -> pd.Series:
-        at = np.searchsorted(points, p.to_numpy())
-        low = np.clip(at - (k + 1) // 2, 0, len(points) - k)
-        pick = (row.to_numpy(np.int64) ^ np.int64(salt * 2654435761 % (1 << 61))) % k
-        return pd.Series(values[low + pick])
+        points, rows, up_to, y = shared.value
+        return pd.Series(y[np.searchsorted(up_to, draw_donors(points, rows, p.to_numpy(float), row.to_numpy(np.int64), k, salt), "right")])
 
     return match
 

@@ -42,7 +42,7 @@ def trajectories_spline(spark, d):
 
 def impute_mice(spark, d):
     wide = table(spark, d, "wide_features").select("row_id", *(not_nan(F.col(c)).alias(c) for c in ("emotion_w2", "emotion_w3", "emotion_w4", "apgehe00_w1")))
-    return impute.impute(wide, "mice_imputation", columns=["emotion_w2", "emotion_w3", "emotion_w4", "apgehe00_w1"], iterations=2)
+    return impute.impute(wide, "mice_imputation", columns=["emotion_w2", "emotion_w3", "emotion_w4", "apgehe00_w1"])
 
 
 def stratified_folds(spark, d):
