@@ -1,8 +1,9 @@
 """Mixing sources to target weights (problem 7).
 
 Entropy balancing: among all document rates between 0 and the cap that meet each source's token target, take those nearest to
-drawing every document alike. Their dual is convex with one multiplier a source; the rate of a document is tilted
-exponentially by its length. Newton steps for all sources at once read one aggregate of the lengths. The rates are
+drawing every document alike, at odds of 1 to the cap, whatever the targets. Their dual is convex with one multiplier a
+source; the odds of a document are tilted exponentially by its length. Newton steps on the logarithm of the tokens drawn,
+kept within brackets, read one aggregate of the lengths for all sources at once. The rates are
 rounded to copies along the lengths, so that the tokens drawn stay within about one document of the target.
 """
 
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.core.errors import InputValidationError
+from panelforge.core.errors import InputValidationError, LibraryError
 from panelforge.core.session import cut
 from panelforge.functions.exprs import strip
 from panelforge.operators.ranks import exact_rank
@@ -64,14 +65,15 @@ def source_name(c: Column) -> Column:
 def balance(lengths: DataFrame, goals: dict[str, tuple[float, int]], *, rounds: int = 60, tolerance: float = 1e-9) -> dict[str, tuple[float, float]]:
     """The tilt of each source: rates ``cap * sigmoid(a + b * tokens / scale)`` that meet its goal of tokens.
 
-    ``lengths`` has (source, tokens, n); ``goals`` the token goal and the cap of each source, a bounded list. The start
-    rate is uniform, so ``a`` is given by goal and total and only ``b`` is solved for by Newton steps on the dual, each
-    one aggregate over ``lengths`` for all sources together. A goal at or above cap * total is met by the cap.
+    ``lengths`` has (source, tokens, n); ``goals`` the token goal and the cap of each source, a bounded list. ``a`` is the
+    base, odds of 1 to the cap, and does not depend on the goals; ``b`` is solved for by Newton steps on the dual, each one
+    aggregate over ``lengths`` for all sources together. A goal at or above cap * total is met by the cap.
     """
     spark = lengths.sparkSession
     names = sorted(goals)
     totals = {r["source"]: (r["t"], r["n"], r["q"]) for r in lengths.filter(F.col("source").isin(names)).groupBy("source").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("n"), F.sum(F.pow(F.col("tokens").cast("double"), 2) * F.col("n")).alias("q")).collect()}
     state: dict[str, list[float]] = {}
+    bracket: dict[str, list[float]] = {}
     fixed: dict[str, tuple[float, float]] = {}
     for s in names:
         goal, cap = goals[s]
@@ -81,9 +83,9 @@ def balance(lengths: DataFrame, goals: dict[str, tuple[float, int]], *, rounds:
         elif goal >= cap * t:
             fixed[s] = (math.inf, 0.0)
         else:
-            share = goal / (cap * t)
-            # base odds: draw every document as often as all documents would be drawn on average, then tilt by length
-            state[s] = [math.log(share / (1 - share)), 0.0, t / n]
+            # the mean length of a token's document is the scale on which the tokens drawn react to b
+            state[s] = [-math.log(cap), 0.0, q / t]
+            bracket[s] = [-math.inf, math.inf]
     for _ in range(rounds):
         if not state:
             break
@@ -97,13 +99,24 @@ def balance(lengths: DataFrame, goals: dict[str, tuple[float, int]], *, rounds:
         )
         moved = False
         for r in step.collect():
-            goal = goals[r["source"]][0]
-            if abs(r["drawn"] - goal) > tolerance * goal and r["slope"] > 0:
-                change = (goal - r["drawn"]) / r["slope"]
-                state[r["source"]][1] += max(-1.0, min(1.0, change))
+            source, goal, drawn = r["source"], goals[r["source"]][0], r["drawn"]
+            if abs(drawn - goal) <= tolerance * goal:
+                continue
+            b, ends = state[source][1], bracket[source]
+            ends[drawn > goal] = b
+            change = math.log(goal / drawn) * drawn / r["slope"] if drawn > 0 and r["slope"] > 0 else math.inf
+            to = b + change
+            if not ends[0] < to < ends[1] or abs(change) > 1 + abs(b):
+                # halve the bracket, or double the distance while one end is open
+                to = sum(ends) / 2 if math.isfinite(sum(ends)) else b + math.copysign(1 + abs(b), goal - drawn)
+            if to != b:
+                state[source][1] = to
                 moved = True
         if not moved:
             break
+    else:
+        if state:
+            raise LibraryError(f"the token goals are not met after {rounds} rounds")
     return fixed | {s: (a, b / scale) for s, (a, b, scale) in state.items()}
 
 
