@@ -1,17 +1,18 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
-Two passes over the texts. The first counts, over the whole corpus, in how many documents each pair of neighbouring
-words stands; the second scores the lines of every document by the mean pointwise mutual information of their
+Two passes over the distinct texts. The first counts, over the whole corpus, in how many of them each pair of neighbouring
+words stands, so that copies are no further evidence; the second scores the lines of every document by the mean pointwise mutual information of their
 neighbouring words. Word salad and lists have a low mean, since their neighbours meet by chance; repeated collocations are
 those that fill a line and recur all over the document. A page is spam when such lines hold most of its words.
 
-Documents are handled in blocks of bounded size. A block sends each of its distinct pairs and words once and gets back
+Texts are handled in blocks of bounded size; their documents get the scores by a hash of the text. A block sends each of its distinct pairs and words once and gets back
 the corpus counts of exactly these, so the counts are exact and no table of all pairs is held anywhere.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -144,7 +145,7 @@ TOTAL_KEY, DOCUMENTS_KEY = 0, 1
 
 
 def block_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and numbers of documents: of each pair, of each word as a left and as a right neighbour, of all pairs, and of
+    """Keys and numbers of texts: of each pair, of each word as a left and as a right neighbour, of all pairs, and of
     documents with any text."""
     b = parse(texts, judge=False)
     left, right, line = _pairs(b)
@@ -203,20 +204,37 @@ def score_lines(b: _Block, keys: np.ndarray, counts: np.ndarray, rules: SpamRule
 def spam_scores(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rules: SpamRules | None = None, block_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, n_words, n_spam_words, spam_share) of every document.
 
-    Empty and null texts have 0 words and a share of 0. Repeated rows of one id are scored apart and the largest share holds.
+    Empty and null texts have 0 words and a share of 0. Repeated rows of one id are scored apart and the largest share holds; copies of a
+    text count once in the statistics and all get its score.
     A very long text is one row of its block and processed whole; blocks hold about ``block_chars`` characters, so their
     number grows with the corpus and their size does not. Other columns are not read.
     """
     rules = rules or SpamRules()
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
+    hashed = docs.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), F.col("text")))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-chars // block_chars))
-    blocked = docs.filter("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n_blocks)).cast("int"))
+
+    def once(batches: Iterator) -> Iterator:
+        # a task sends each text once, so that a text of many copies is no hot block
+        import pyarrow as pa
+
+        sent: set = set()
+        for batch in batches:
+            new = []
+            for k, key in enumerate(zip(batch.column("h").to_pylist(), batch.column("h2").to_pylist())):
+                if key not in sent:
+                    sent.add(key)
+                    new.append(k)
+            yield batch.take(pa.array(new, pa.int64()))
+
+    distinct = hashed.filter("text IS NOT NULL").select("h", "h2", "text").mapInArrow(once, "h long, h2 long, text string")
+    blocked = distinct.withColumn("block", F.pmod("h", F.lit(n_blocks)).cast("int"))
     # as many partitions as blocks, so that a task's share does not grow with the corpus
     blocked = blocked.repartition(n_blocks, "block")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = block_counts(pdf["text"].tolist())
+        keys, counts = block_counts(pdf.drop_duplicates(["h", "h2"])["text"].tolist())
         return pd.DataFrame({"block": pdf["block"].iat[0], "key": keys, "n": counts})
 
     own = blocked.groupBy("block").applyInPandas(count, "block int, key long, n long")
@@ -224,15 +242,16 @@ def spam_scores(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     global_counts = own.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).select("block", "key", "total").repartition(n_blocks, "block")
 
     def score(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["h", "h2"])
         b = parse(pdf["text"].tolist())
         words, spam = score_lines(b, known["key"].to_numpy(), known["total"].to_numpy(), rules)
         n = np.bincount(b.doc_of_line, words, len(pdf)).astype(np.int64)
         bad = np.bincount(b.doc_of_line, words * spam, len(pdf)).astype(np.int64)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n_words": n, "n_spam_words": bad, "spam_share": bad / np.maximum(1, n)})
+        return pd.DataFrame({"h": pdf["h"].to_numpy(), "h2": pdf["h2"].to_numpy(), "n_words": n, "n_spam_words": bad, "spam_share": bad / np.maximum(1, n)})
 
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = blocked.groupBy("block").cogroup(global_counts.groupBy("block")).applyInPandas(score, f"doc_id {kind}, n_words long, n_spam_words long, spam_share double")
-    return scored
+    scored = blocked.groupBy("block").cogroup(global_counts.groupBy("block")).applyInPandas(score, "h long, h2 long, n_words long, n_spam_words long, spam_share double")
+    zero = [F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c, kind in (("n_words", "long"), ("n_spam_words", "long"), ("spam_share", "double"))]
+    return hashed.select("doc_id", "h", "h2").join(scored, ["h", "h2"], "left").select("doc_id", *zero)
 
 
 def spam_pages(documents: DataFrame, *, rules: SpamRules | None = None, **options) -> DataFrame:
