@@ -23,6 +23,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
+# targets that are no absolute address: of href attributes, and of links in brackets
+HREF = re.compile(r"""\bhref\s*=\s*["']?\s*(?!https?://|(?://)?www\.|["'\s>])\S""", re.I)
+TARGET = re.compile(r"\]\(\s*(?:\.{0,2}/|[#?]|[\w%-]+(?:/|\.\w))[^()\s]*\)")
 MARKUP = re.compile(r"</?\w+\b[^<>]*>|\bhref\s*=")
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = frozenset("-/|>:*=+~<&,.;#") | frozenset("–—•·»«")
@@ -45,7 +48,9 @@ class SpamRules:
     ``1 / list_commas`` words. ``repeated_share``: so many of a line's pairs must recur at least ``recurs`` times and in
     ``recurs_share`` of the document's pairs, while under ``common_share`` of all documents have them: phrases of the
     trade may recur. ``words_per_link``: up to so many words to a link make a link list. ``discount``: a pair in n documents
-    counts (n - 1) / (n + discount) of its positive PMI. ``least_words``: shorter lines are judged by links and tags only.
+    counts (n - 1) / (n + discount) of its positive PMI. ``least_words``: shorter units are judged by links and tags only.
+    ``short_line``: consecutive lines of fewer words are judged as one unit, besides each for itself; shorter units are
+    not judged by repetition.
     """
 
     least_pmi: float = 1.15
@@ -58,6 +63,7 @@ class SpamRules:
     words_per_link: int = 6
     discount: float = 4.0
     least_words: int = 5
+    short_line: int = 8
     spam_share: float = 0.5
 
 
@@ -68,6 +74,7 @@ class _Block:
     vocabulary: list[str] = field(default_factory=list)
     words: np.ndarray = None  # id of each word
     line: np.ndarray = None  # line of each word
+    unit: np.ndarray = None  # of each line: a run of short lines, or the line alone
     doc_of_line: np.ndarray = None
     links: np.ndarray = None  # of each line
     tags: np.ndarray = None
@@ -82,7 +89,7 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
-def parse(texts: list[str | None], *, judge: bool = True) -> _Block:
+def parse(texts: list[str | None], *, judge: bool = True, short_line: int = SpamRules.short_line) -> _Block:
     """Split texts into lines and words. Links and numbers are words too but have no neighbours. Lines of more than
     25 words are apparatus by their label only. ``judge=False`` leaves out what only the scoring needs."""
     found: list[list[str]] = []
@@ -97,6 +104,11 @@ def parse(texts: list[str | None], *, judge: bool = True) -> _Block:
             ln = raw
             if "://" in ln or "www." in ln:
                 ln, n_links = URL.subn(" ", ln)
+            if "href" in raw or "HREF" in raw:
+                n_links += len(HREF.findall(raw))
+            if "](" in ln:
+                ln, more = TARGET.subn("] ", ln)
+                n_links += more
             if "<" in ln:
                 ln = MARKUP.sub(" ", ln)
             own = WORD.findall(ln.lower())
@@ -113,16 +125,23 @@ def parse(texts: list[str | None], *, judge: bool = True) -> _Block:
                 tokens.append(len(written) - sum(map(MARKS.__contains__, written)))
                 exempt.append((APPARATUS.search(raw) if len(own) <= 25 else LABEL.match(raw)) is not None)
     counts = np.array(counts, np.int64)
+    of = np.array(docs, np.int64)
+    short = counts < short_line
+    goes_on = np.r_[False, short[1:] & short[:-1] & (of[1:] == of[:-1])][: len(counts)]
+    unit = np.cumsum(~goes_on) - 1
     vocabulary = sorted(set(chain.from_iterable(found)))
     ids = {w: i for i, w in enumerate(vocabulary)}
     flat = np.fromiter(map(ids.__getitem__, chain.from_iterable(found)), np.int64)
-    return _Block(vocabulary, flat, np.repeat(np.arange(len(counts)), counts), np.array(docs, np.int64), np.array(links, np.int64), np.array(tags, np.int64), np.array(commas, np.int64), np.array(tokens, np.int64), np.array(exempt, bool))
+    return _Block(vocabulary, flat, np.repeat(np.arange(len(counts)), counts), unit, of, np.array(links, np.int64), np.array(tags, np.int64), np.array(commas, np.int64), np.array(tokens, np.int64), np.array(exempt, bool))
 
 
-def _pairs(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Left word, right word and line of all neighbours within lines."""
-    same = b.line[1:] == b.line[:-1]
-    return b.words[:-1][same], b.words[1:][same], b.line[1:][same]
+def _pairs(b: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Left word, right word and line of all neighbours, and whether the line has both: in runs of three short lines or
+    more, words are neighbours across line breaks too."""
+    within = b.line[1:] == b.line[:-1]
+    unit = b.unit[b.line]
+    same = within | (unit[1:] == unit[:-1]) & (np.bincount(b.unit)[unit[1:]] > 2) if len(unit) else within
+    return b.words[:-1][same], b.words[1:][same], b.line[1:][same], within[same]
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -144,11 +163,11 @@ def _word_key(word: np.ndarray, side: np.uint64) -> np.ndarray:
 TOTAL_KEY, DOCUMENTS_KEY = 0, 1
 
 
-def block_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def block_counts(texts: list[str | None], short_line: int = SpamRules.short_line) -> tuple[np.ndarray, np.ndarray]:
     """Keys and numbers of texts: of each pair, of each word as a left and as a right neighbour, of all pairs, and of
     documents with any text."""
-    b = parse(texts, judge=False)
-    left, right, line = _pairs(b)
+    b = parse(texts, judge=False, short_line=short_line)
+    left, right, line, _ = _pairs(b)
     n = max(1, len(b.vocabulary))
     code = _distinct((b.doc_of_line[line] * n + left) * n + right)
     pair, times = np.unique(code % (n * n), return_counts=True)
@@ -166,10 +185,15 @@ def score_lines(b: _Block, keys: np.ndarray, counts: np.ndarray, rules: SpamRule
     n_lines = len(b.doc_of_line)
     size = np.bincount(b.line, minlength=n_lines) if len(b.line) else np.zeros(n_lines, np.int64)
     words = b.tokens
-    left, right, line = _pairs(b)
-    link_list = (b.links > 0) & (size <= rules.words_per_link * b.links)
-    tag_list = (b.tags > 1) & (2 * b.tags >= size)
-    spam = link_list | tag_list
+    left, right, line, within = _pairs(b)
+    n_units = int(b.unit[-1]) + 1 if n_lines else 0
+    in_unit = lambda x: np.bincount(b.unit, x, n_units)
+    size_u = in_unit(size)
+
+    def lists(links: np.ndarray, tags: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (links > 0) & (size <= rules.words_per_link * links) | (tags > 1) & (2 * tags >= size)
+
+    spam = lists(b.links, b.tags, size) | lists(in_unit(b.links), in_unit(b.tags), size_u)[b.unit]
     if len(left):
         n = len(b.vocabulary)
         h = _hashes(b.vocabulary)
@@ -187,17 +211,23 @@ def score_lines(b: _Block, keys: np.ndarray, counts: np.ndarray, rules: SpamRule
         total, documents = count(np.array([TOTAL_KEY, DOCUMENTS_KEY], np.int64))
         pmi = np.log(seen * total / (lefts[lw] * rights[rw]))
         pmi = np.where(pmi > 0, pmi * np.maximum(seen - 1, 0) / (seen + rules.discount), pmi)
-        n_pairs = np.bincount(line, minlength=n_lines)
-        mean = np.bincount(line, pmi[inverse], n_lines) / np.maximum(1, n_pairs)
         doc = b.doc_of_line[line]
         in_doc, where, times = np.unique(doc * len(code) + inverse, return_inverse=True, return_counts=True)
         doc_pairs = np.bincount(doc)
         rare = seen <= np.maximum(rules.common_share * documents, 3)
         often = (times[where] >= np.maximum(rules.recurs, rules.recurs_share * doc_pairs[doc])) & rare[inverse]
-        repeated = np.bincount(line, often.astype(float), n_lines) / np.maximum(1, n_pairs)
-        long = size >= rules.least_words
-        listed = b.commas >= rules.list_commas * size
-        spam |= long & ~b.exempt & ((mean < np.where(listed, rules.list_pmi, rules.least_pmi)) | (repeated >= rules.repeated_share) & (size >= 8))
+
+        def incoherent(at: np.ndarray, own: np.ndarray, often: np.ndarray, size: np.ndarray, commas: np.ndarray) -> np.ndarray:
+            n_pairs = np.maximum(1, np.bincount(at, minlength=len(size)))
+            mean = np.bincount(at, own, len(size)) / n_pairs
+            repeated = np.bincount(at, often.astype(float), len(size)) / n_pairs
+            low = mean < np.where(commas >= rules.list_commas * size, rules.list_pmi, rules.least_pmi)
+            return (size >= rules.least_words) & (low | (repeated >= rules.repeated_share) & (size >= rules.short_line))
+
+        own = pmi[inverse]
+        by_line = incoherent(line[within], own[within], often[within], size, b.commas)
+        by_unit = incoherent(b.unit[line], own, often, size_u, in_unit(b.commas))
+        spam |= ~b.exempt & (by_line | by_unit[b.unit])
     return words, spam
 
 
@@ -234,7 +264,7 @@ def spam_scores(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     blocked = blocked.repartition(n_blocks, "block")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = block_counts(pdf.drop_duplicates(["h", "h2"])["text"].tolist())
+        keys, counts = block_counts(pdf.drop_duplicates(["h", "h2"])["text"].tolist(), rules.short_line)
         return pd.DataFrame({"block": pdf["block"].iat[0], "key": keys, "n": counts})
 
     own = blocked.groupBy("block").applyInPandas(count, "block int, key long, n long")
@@ -243,7 +273,7 @@ def spam_scores(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
 
     def score(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["h", "h2"])
-        b = parse(pdf["text"].tolist())
+        b = parse(pdf["text"].tolist(), short_line=rules.short_line)
         words, spam = score_lines(b, known["key"].to_numpy(), known["total"].to_numpy(), rules)
         n = np.bincount(b.doc_of_line, words, len(pdf)).astype(np.int64)
         bad = np.bincount(b.doc_of_line, words * spam, len(pdf)).astype(np.int64)
