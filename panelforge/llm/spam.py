@@ -50,7 +50,8 @@ class SpamRules:
     trade may recur. ``words_per_link``: up to so many words to a link make a link list. ``discount``: a pair in n documents
     counts (n - 1) / (n + discount) of its positive PMI. ``least_words``: shorter units are judged by links and tags only.
     ``short_line``: consecutive lines of fewer words are judged as one unit, besides each for itself; shorter units are
-    not judged by repetition.
+    not judged by repetition. ``ruling_share``: lists of a ruling are exempt where coherent text outside them holds so much
+    of the page; ``label_words`` and ``label_repeats``: not lines of more words, nor of more pairs that stood in the line before.
     """
 
     least_pmi: float = 1.15
@@ -64,6 +65,9 @@ class SpamRules:
     discount: float = 4.0
     least_words: int = 5
     short_line: int = 8
+    ruling_share: float = 0.2
+    label_words: int = 200
+    label_repeats: float = 0.3
     spam_share: float = 0.5
 
 
@@ -227,7 +231,13 @@ def score_lines(b: _Block, keys: np.ndarray, counts: np.ndarray, rules: SpamRule
         own = pmi[inverse]
         by_line = incoherent(line[within], own[within], often[within], size, b.commas)
         by_unit = incoherent(b.unit[line], own, often, size_u, in_unit(b.commas))
-        spam |= ~b.exempt & (by_line | by_unit[b.unit])
+        bad = by_line | by_unit[b.unit]
+        coherent = np.bincount(b.doc_of_line, words * ~(b.exempt | bad | spam))
+        ruling = coherent >= rules.ruling_share * np.maximum(1, np.bincount(b.doc_of_line, words))
+        at = line[within]
+        different = np.bincount(_distinct(at * len(code) + inverse[within]) // len(code), minlength=n_lines)
+        repeats = 1 - different / np.maximum(1, np.bincount(at, minlength=n_lines)) > rules.label_repeats
+        spam |= bad & ~(b.exempt & ruling[b.doc_of_line] & (size <= rules.label_words) & (~repeats | (size < rules.short_line)))
     return words, spam
 
 
