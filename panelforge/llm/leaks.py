@@ -196,26 +196,33 @@ class Searcher:
                 n += 1
             runs.append((i, j, n))
         runs.sort()
-        # best chain that ends with each run: value (words less half the skipped item words), words, longest run, start
-        best: list[tuple[float, int, int, int]] = []
-        low = 0
+        # chains that end with each run: words, start in the item and longest run, none worse in all three than another
+        fronts: list[list[tuple[int, int, int]]] = []
+        low, steps = 0, sorted((r.dense_run, r.loose_run))
         for x, (i, j, n) in enumerate(runs):
             while runs[low][0] + len(item) + r.doc_gap < i:
                 low += 1
-            top = (float(n), n, n, j)
+            chains = {(n, j, n)}
             for y in range(low, x):
                 i0, j0, n0 = runs[y]
                 gi, gj = i - i0 - n0, j - j0 - n0
                 lap = max(0, -gi, -gj)
                 if i > i0 and j > j0 and gi <= r.doc_gap and gj <= r.item_gap and lap < n:
-                    value = best[y][0] + n - lap - 0.5 * max(0, gj)
-                    if value > top[0]:
-                        top = (value, best[y][1] + n - lap, max(best[y][2], n), best[y][3])
-            best.append(top)
-            _, words, longest, start = top
-            density = words / (j + n - start)
-            if words >= r.share * len(item) and (density >= r.dense and longest >= r.dense_run or density >= r.loose and longest >= r.loose_run):
-                return True
+                    chains.update((words + n - lap, start, max(longest, n)) for words, start, longest in fronts[y])
+            rest = len(item) - j - n
+            kept, most = [], [0, 0, 0]
+            for words, start, longest in sorted(chains, key=lambda c: (-c[1], -c[0], -c[2])):
+                density = words / (j + n - start)
+                if words >= r.share * len(item) and (density >= r.dense and longest >= r.dense_run or density >= r.loose and longest >= r.loose_run):
+                    return True
+                # what even all the rest of the item cannot make long and dense enough is left out
+                if words + rest < r.share * len(item) or words + rest < min(r.loose, r.dense) * (len(item) - start):
+                    continue
+                rank = (longest >= steps[0]) + (longest >= steps[1])
+                if words > most[rank]:
+                    kept.append((words, start, longest))
+                    most[: rank + 1] = [max(words, m) for m in most[: rank + 1]]
+            fronts.append(kept)
         return False
 
 
