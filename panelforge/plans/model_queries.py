@@ -37,7 +37,7 @@ def trajectories_gmm(spark, d):
 
 
 def trajectories_spline(spark, d):
-    return build_trajectories(clean_panel(spark, d), "clustermld", value_cols=["depressive_score"], n_trajectories=4, builder_kwargs={"max_exact": 200}).assignments
+    return build_trajectories(clean_panel(spark, d), "clustermld", value_cols=["depressive_score"], n_trajectories=4).assignments
 
 
 def impute_mice(spark, d):

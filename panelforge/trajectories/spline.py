@@ -121,7 +121,7 @@ class SplineClusters:
     preprocess: bool = True
     weight_func: str = "standardise"
     selection_metric: str = "gapb"
-    max_exact: int = 600
+    max_exact: int = 2000
     trajectory_names: Sequence[str] | None = None
     max_value_cols = 0
 
