@@ -33,18 +33,20 @@ def parse_split(value: str | float | None) -> float | None:
 def with_folds(df: DataFrame, label: str, folds: int, seed: int, *keys: str) -> DataFrame:
     """Column ``fold``: the rows of a class are dealt evenly by their exact rank in the order of a hash of ``keys`` and the
     seed, so fold sizes within a class differ by one at most, and no class is sorted in one task."""
-    least = min((r[1] for r in df.groupBy(label).count().collect()), default=0)
+    sizes = [r[1] for r in df.groupBy(label).count().collect()]
+    least = min(sizes, default=0)
     if folds < 2 or folds > least:
         raise InputValidationError(f"{folds} folds need as many rows of each class; the smallest class has {least}")
-    ranked = exact_rank(df, [label], list(keys), seed=seed, rank="__rank")
+    ranked = exact_rank(df, [label], list(keys), seed=seed, rank="__rank", rows=sum(sizes))
     return ranked.withColumn("fold", F.pmod("__rank", F.lit(folds)).cast("int")).drop("__rank", "group_size")
 
 
 def with_shuffles(df: DataFrame, label: str, share: float, repeats: int, seed: int, *keys: str) -> DataFrame:
     """Column ``test_in``: the repeats in whose test part a row stands; each class gives its share, rounded, at least one."""
     out = df.withColumn("test_in", F.array().cast("array<int>"))
+    rows = df.count()
     for k in range(repeats):
-        out = exact_rank(out, [label], list(keys), seed=seed + 1009 * k, rank="__rank")
+        out = exact_rank(out, [label], list(keys), seed=seed + 1009 * k, rank="__rank", rows=rows)
         inside = F.col("__rank") < F.greatest(F.lit(1), F.round(F.col("group_size") * share))
         out = out.withColumn("test_in", F.when(inside, F.array_append("test_in", F.lit(k))).otherwise(F.col("test_in"))).drop("__rank", "group_size")
     return out

@@ -12,18 +12,19 @@ from panelforge.core.session import cut
 from panelforge.functions.exprs import numeric, quoted
 
 
-def exact_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], *, seed: int | None = None, rank: str = "rank") -> DataFrame:
+def exact_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], *, seed: int | None = None, rank: str = "rank", rows: int | None = None) -> DataFrame:
     """``df`` with the rank (from 0) of each row within ``group`` in the order of a hash of ``order`` (and ``seed``), and a
     column ``group_size``.
 
-    Rows are ranked within 64 hash buckets of their group, and the counts of the group's preceding buckets are added; what
-    is kept per group is one count per bucket. Null group values are a group; rows that are equal in ``order`` are
-    ranked in any order.
+    Rows are ranked within hash buckets of their group, and the counts of the group's preceding buckets are added; what
+    is kept per group is one count per bucket. There are 64 buckets, or more, so that even a group of all ``rows`` (counted
+    unless given) has some 50 000 in each. Null group values are a group; rows that are equal in ``order`` are ranked in any order.
     """
     if {rank, "group_size"} & set(df.columns):
         raise InputValidationError(f"columns {rank!r} and 'group_size' must not exist yet")
     keys = [F.col(quoted(c)) for c in order] + ([F.lit(seed)] if seed is not None else [])
-    hashed = df.withColumn("__h", F.xxhash64(*keys)).withColumn("__b", F.shiftright("__h", 58))
+    bits = max(6, ((df.count() if rows is None else rows) // 50_000).bit_length())
+    hashed = df.withColumn("__h", F.xxhash64(*keys)).withColumn("__b", F.shiftright("__h", 64 - bits))
     sizes = hashed.groupBy(*map(quoted, group), "__b").agg(F.count(F.lit(1)).alias("__n"))
     own = Window.partitionBy(*map(quoted, group))
     sizes = sizes.select(

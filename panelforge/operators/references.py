@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.core.errors import InputValidationError
-from panelforge.functions.exprs import quoted
+from panelforge.functions.exprs import quoted, splittable_join
 
 MATCHES = ("simple", "full", "partial")
 
@@ -43,8 +43,8 @@ def check_references(
     no targets of a full match; for ``partial`` they match on their non-null parts. Extra columns of ``refs`` stay;
     those of ``targets`` are not read, so equal names cannot clash. An empty ``targets`` makes every reference an orphan.
 
-    The target side is reduced to one row per key before the join, so the join never multiplies rows and a hot
-    reference key can be split by the adaptive skew join.
+    The target side is reduced to one row per key before the join, so the join never multiplies rows; a hot reference
+    key is split by the adaptive skew join (:func:`splittable_join`).
     """
     if match not in MATCHES:
         raise InputValidationError(f"match must be one of {MATCHES}")
@@ -74,7 +74,8 @@ def check_references(
         own = refs.filter(reduce(Column.__and__, [c if m else ~c for c, m in zip(null, mask)]))
         on = [(quoted(r), a) for r, a, m in zip(ref_cols, keys, mask) if not m]
         there = _one_per_key(target, [a for _, a in on])
-        joined = own.join(there, reduce(Column.__and__, [own[r] == F.col(a) for r, a in on]), "left")
+        copies = own.select("*", *(F.col(r).alias(a) for r, a in on))
+        joined = splittable_join(copies, there, [a for _, a in on], "left")
         parts.append(joined.withColumn(cause, _cause(at)).drop(*keys, "__there", "__first", "__end"))
     return reduce(DataFrame.unionByName, parts)
 
