@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from panelforge.core.errors import InputValidationError, LibraryError
 from panelforge.core.session import cut
-from panelforge.functions.exprs import strip
+from panelforge.functions.exprs import splittable_join, strip
 from panelforge.operators.ranks import exact_rank
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -139,7 +139,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_
     if len(goal_rows) > 10_000:
         raise InputValidationError("at most 10000 sources can be balanced")
     lengths = cut(counted.groupBy("source", "tokens").agg(F.count(F.lit(1)).alias("n")))
-    everything = lengths.agg(F.sum(F.col("tokens") * F.col("n"))).first()[0] or 0
+    totals = lengths.agg(F.sum(F.col("tokens") * F.col("n")).alias("tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    everything = totals["tokens"] or 0
     goals = {r["source"]: (r["target_share"] * everything, r["max_repeats"]) for r in goal_rows}
     tilts = balance(lengths, goals)
     spark = documents.sparkSession
@@ -152,8 +153,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_
     # rounding: cumulative rates along the lengths of a source; a document gets the whole numbers that its step passes
     before = Window.partitionBy("source").orderBy("tokens").rowsBetween(Window.unboundedPreceding, -1)
     used = used.withColumn("start", F.coalesce(F.sum(F.col("rate") * F.col("n")).over(before), F.lit(0.0)) + 0.5)
-    ranked = exact_rank(counted.filter("tokens > 0 AND source IS NOT NULL"), ["source", "tokens"], ["doc_id"])
-    steps = ranked.join(used.select("source", "tokens", "rate", "start", "cap", "goal"), ["source", "tokens"])
+    ranked = exact_rank(counted.filter("tokens > 0 AND source IS NOT NULL"), ["source", "tokens"], ["doc_id"], rows=totals["n"])
+    steps = splittable_join(ranked, used.select("source", "tokens", "rate", "start", "cap", "goal"), ["source", "tokens"])
     low, high = F.col("start") + F.col("rate") * F.col("rank"), F.col("start") + F.col("rate") * (F.col("rank") + 1)
     copies = F.when(F.col("rate") == F.col("cap"), F.col("cap")).otherwise((F.floor(high) - F.floor(low)).cast("int"))
     rounded = cut(steps.select("doc_id", "source", "tokens", "cap", "goal", F.least(copies, F.col("cap")).alias("copies")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.core.errors import InputValidationError
 from panelforge.functions.exprs import family_key, not_nan
 from panelforge.llm import clusters, leaks, mixing, spam, splits
 from panelforge.plans.tables import table
@@ -43,7 +44,9 @@ def _split(spark: SparkSession, d: str, shares: dict[str, float]) -> DataFrame:
 
 
 def p4_splits(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "split_targets").filter("target_share > 0").limit(1000).collect()
+    targets = table(spark, d, "split_targets").filter("split_name IS NOT NULL AND target_share > 0").groupBy("split_name").agg(F.min("target_share").alias("target_share")).limit(1001).collect()
+    if len(targets) > 1000:
+        raise InputValidationError("at most 1000 splits")
     return _split(spark, d, {r["split_name"]: r["target_share"] for r in targets})
 
 

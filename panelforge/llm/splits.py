@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.core.errors import InputValidationError
+from panelforge.core.session import cut
+from panelforge.functions.exprs import splittable_join
 from panelforge.llm.graph import components
 from panelforge.operators.ranks import exact_rank
 
@@ -26,7 +27,7 @@ def related_groups(records: DataFrame, record: str, ties: DataFrame, family: str
     labels = components(edges, "fam", "entity")
     labelled = of.join(labels, "fam").groupBy("rec").agg(F.min("label").alias("label"))
     least = labelled.groupBy("label").agg(F.min("rec").alias("group_id"))
-    grouped = labelled.join(least, "label").select("rec", "group_id")
+    grouped = splittable_join(labelled, least, ["label"]).select("rec", "group_id")
     every = records.select(F.col(record).alias("rec")).filter("rec IS NOT NULL").distinct()
     return every.join(grouped, "rec", "left").select(F.col("rec").alias(record), F.coalesce("group_id", "rec").alias("group_id"))
 
@@ -42,55 +43,50 @@ def _fill(n: int, deficits: list[float]) -> list[int]:
     return out
 
 
-def _deal(kinds: list[tuple[tuple[int, ...], int]], shares: list[float], totals: list[int]) -> list[list[int]]:
+def _deal(kinds: list[tuple[tuple[int, ...], int]], shares: list[float], totals: list[float]) -> list[list[int]]:
     """How many groups of each kind (rows per label, number of groups) go to each split.
 
-    Groups of several rows: whole quotas first, then the rest, large groups first, each to the split where the sum over
-    labels of the squared relative gaps shrinks most. Groups of one row come last and fill what is still missing.
+    Whole quotas first, then the rest, large groups first, each to the split where the sum over labels of the squared
+    relative gaps shrinks most.
     """
     k = len(shares)
     placed = [[0.0] * len(totals) for _ in range(k)]
     counts = [[0] * k for _ in kinds]
-    single = [i for i, (v, _) in enumerate(kinds) if sum(v) == 1]
 
     def put(index: int, j: int, n: int = 1) -> None:
         counts[index][j] += n
         for i, v in enumerate(kinds[index][0]):
             placed[j][i] += v * n
 
-    others = sorted(set(range(len(kinds))) - set(single), key=lambda i: (-sum(kinds[i][0]), kinds[i][0]))
-    for index in others:
+    order = sorted(range(len(kinds)), key=lambda i: (-sum(kinds[i][0]), kinds[i][0]))
+    for index in order:
         for j in range(k):
             put(index, j, int(kinds[index][1] * shares[j]))
     weight = [1 / max(1, t) ** 2 for t in totals]
-    for index in others:
+    for index in order:
         vector, n = kinds[index]
         for _ in range(n - sum(counts[index])):
             gains = []
             for j in range(k):
                 gain = 0.0
                 for i, v in enumerate(vector):
-                    gap = shares[j] * totals[i] - placed[j][i]
-                    gain += weight[i] * (gap * gap - (gap - v) ** 2)
+                    if v:
+                        gap = shares[j] * totals[i] - placed[j][i]
+                        gain += weight[i] * (gap * gap - (gap - v) ** 2)
                 gains.append(gain / max(shares[j], 1e-9))
             put(index, max(range(k), key=lambda j: (gains[j], -j)))
-    for index in single:
-        vector, n = kinds[index]
-        i = vector.index(1)
-        for j, m in enumerate(_fill(n, [shares[j] * totals[i] - placed[j][i] for j in range(k)])):
-            put(index, j, m)
     return counts
 
 
-def assign_splits(rows: DataFrame, group: str, label: str, shares: dict[str, float], *, max_kinds: int = 200_000) -> DataFrame:
+def assign_splits(rows: DataFrame, group: str, label: str, shares: dict[str, float], *, block: int = 50_000) -> DataFrame:
     """``rows`` with a column ``split``; all rows of a group get one split.
 
-    Groups are described by their rows per label; groups with equal vectors are one kind. Kinds and their numbers (a
-    few thousand at any size, checked against ``max_kinds``) are dealt to the splits on the driver so that every
-    split's label distribution deviates least; which groups of a kind go where follows their exact hash rank. Where
-    there are more kinds than that, the vectors of the smallest groups are coarsened to their total size. A null label
-    is a label of its own; rows without a group get no split. Shares are scaled to sum to 1. Other columns of
-    ``rows`` stay as they are; one named ``split`` is refused. An empty table gives no rows.
+    Groups are described by their rows per label; groups with equal vectors are one kind. Kinds are dealt to the splits in
+    blocks of about ``block`` of them, one task each, so that the label distribution of every split deviates least within
+    each block; kinds of one row, one a label, come last and fill what all blocks together left open. Which
+    groups of a kind go where follows their exact hash rank. A null label is a label of its own; rows without a
+    group get no split. Shares are scaled to sum to 1. Other columns of ``rows`` stay as they are; one named ``split`` is
+    refused, and so are more than 50 labels. An empty table gives no rows.
     """
     if not shares or min(shares.values()) <= 0:
         raise InputValidationError("shares must be positive")
@@ -104,28 +100,38 @@ def assign_splits(rows: DataFrame, group: str, label: str, shares: dict[str, flo
         raise InputValidationError("stratify by a label of at most 50 values")
     if not labels:
         return rows.withColumn("split", F.lit(None).cast("string"))
-    vectors = own.groupBy("g").agg(*(F.count_if(F.col("l") == x).alias(f"n{i}") for i, x in enumerate(labels)))
     fields = [f"n{i}" for i in range(len(labels))]
-    kinds = vectors.groupBy(*fields).agg(F.count(F.lit(1)).alias("groups"))
-    if kinds.count() > max_kinds:
-        total = sum((F.col(f) for f in fields), F.lit(0))
-        vectors = vectors.select("g", total.cast("long").alias("n0"))
-        fields, labels = ["n0"], ["(all)"]
-        kinds = vectors.groupBy("n0").agg(F.count(F.lit(1)).alias("groups"))
-    listed = sorted((tuple(r[f] for f in fields), r["groups"]) for r in kinds.collect())
-    totals = [sum(v[i] * n for v, n in listed) for i in range(len(labels))]
-    counts = _deal(listed, scaled, totals)
-    spark = rows.sparkSession
-    ranges = defaultdict(int)
-    table = []
-    for (vector, _), row in zip(listed, counts):
-        for name, n in zip(names, row):
-            if n:
-                table.append((*vector, ranges[vector], ranges[vector] + n, name))
-                ranges[vector] += n
-    schema = ", ".join(f"{f} long" for f in fields) + ", lo long, hi long, split string"
-    ranked = exact_rank(vectors, fields, ["g"])
-    dealt = spark.createDataFrame(table, schema)
-    on = [ranked[f] == dealt[f] for f in fields] + [ranked["rank"] >= dealt["lo"], ranked["rank"] < dealt["hi"]]
-    chosen = ranked.join(dealt, on).select(F.col("g").alias("__g"), "split")
+    vectors = cut(own.groupBy("g").agg(*(F.count_if(F.col("l") == x).alias(f) for f, x in zip(fields, labels))))
+    kinds = cut(vectors.groupBy(*fields).agg(F.count(F.lit(1)).alias("groups")).withColumn("size", sum((F.col(f) for f in fields), F.lit(0))))
+    n = F.col("groups")
+    many = F.col("size") > 1
+    sums = kinds.agg(
+        F.sum(n).alias("groups"), F.count_if(many).alias("kinds"), F.sum(F.when(many, F.col("size") * n)).alias("rows"),
+        *(F.sum(F.col(f) * n).alias(f) for f in fields), *(F.coalesce(F.sum(F.when(~many, F.col(f) * n)), F.lit(0)).alias(f"s_{f}") for f in fields),
+    ).first()
+    singles = [sums[f"s_{f}"] for f in fields]
+    n_blocks = max(1, -(-sums["kinds"] // block))
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        listed = list(zip(pdf[fields].itertuples(index=False, name=None), pdf["groups"].tolist()))
+        inside = sum(sum(v) * m for v, m in listed)
+        # a block counts on its part of the single rows
+        totals = [sum(v[i] * m for v, m in listed) + singles[i] * inside / sums["rows"] for i in range(len(fields))]
+        return pdf[fields].assign(counts=_deal(listed, scaled, totals))
+
+    schema = ", ".join(f"{f} long" for f in fields) + ", counts array<long>"
+    blocks = kinds.filter(many).withColumn("block", F.pmod(F.xxhash64(*fields), F.lit(n_blocks)).cast("int"))
+    dealt = cut(blocks.groupBy("block").applyInPandas(deal, schema))
+    placed = dealt.agg(*(F.coalesce(F.sum(F.col(f) * F.col("counts")[j]), F.lit(0)).alias(f"{f}_{j}") for f in fields for j in range(len(names)))).first()
+    filled = []
+    for i, f in enumerate(fields):
+        if singles[i]:
+            counts = _fill(singles[i], [scaled[j] * sums[f] - placed[f"{f}_{j}"] for j in range(len(names))])
+            filled.append((*(int(i == x) for x in range(len(fields))), counts))
+    dealt = dealt.unionByName(rows.sparkSession.createDataFrame(filled, schema))
+    ranked = exact_rank(vectors, fields, ["g"], rows=sums["groups"])
+    # the split whose share of the kind's ranks holds the rank
+    ends = F.transform(F.sequence(F.lit(1), F.lit(len(names))), lambda k: F.aggregate(F.slice("counts", 1, k), F.lit(0).cast("long"), lambda a, x: a + x))
+    place = F.size(F.filter(ends, lambda end: end <= F.col("rank")))
+    chosen = splittable_join(ranked, dealt, fields).select(F.col("g").alias("__g"), F.get(F.array(*map(F.lit, names)), place).alias("split"))
     return rows.join(chosen, rows[group] == F.col("__g"), "left").drop("__g")

@@ -105,3 +105,16 @@ def test_splits_where_one_group_exceeds_its_share(spark):
     out = assign_splits(spark.createDataFrame(rows, "row long, g long, label string"), "g", "label", {"a": 0.5, "b": 0.5}).collect()
     sizes = sorted([sum(r["split"] == x for r in out) for x in "ab"])
     assert sizes == [40, 60]
+
+
+def test_blocks_of_kinds_stay_stratified(spark):
+    """Many kinds in small blocks: no label is given up."""
+    rng = random.Random(3)
+    rows = [(1000 * g + k, g, rng.choice("ABC")) for g in range(300) for k in range(rng.choice([1, 2, 5, 9, 14]))]
+    df = spark.createDataFrame(rows, "row long, g long, label string")
+    out = assign_splits(df, "g", "label", {"a": 0.5, "b": 0.25, "c": 0.25}, block=20).collect()
+    assert len(out) == len(rows) and all(len({r["split"] for r in out if r["g"] == g}) == 1 for g in range(300))
+    for label in "ABC":
+        own = [r["split"] for r in out if r["label"] == label]
+        for name, share in (("a", 0.5), ("b", 0.25), ("c", 0.25)):
+            assert abs(own.count(name) - share * len(own)) <= 0.02 * len(own) + 2
