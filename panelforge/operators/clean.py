@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +116,49 @@ def _trigrams(text: str) -> set[str]:
     return {padded[i : i + 3] for i in range(len(padded) - 2)}
 
 
+def _gram_distances(keys: list[str]) -> np.ndarray:
+    """Jaccard distances of the labels' character trigrams, from one product of label and trigram indicators."""
+    grams = [_trigrams(k) for k in keys]
+    at: dict[str, int] = {}
+    for g in grams:
+        for x in sorted(g):
+            at.setdefault(x, len(at))
+    has = np.zeros((len(keys), max(1, len(at))), np.float32)
+    for i, g in enumerate(grams):
+        has[i, [at[x] for x in g]] = 1
+    both, size = (has @ has.T).astype(float), has.sum(1).astype(float)
+    return 1 - both / (size[:, None] + size[None, :] - both)
+
+
+def _average_linkage(dist: np.ndarray, n_clusters: int, limit: float) -> np.ndarray:
+    """The cluster of each item after merging the two nearest (ties: the first) until ``n_clusters`` are left or the least
+    distance exceeds ``limit``. Every item keeps its nearest later neighbour, so a merge looks at one row and column only."""
+    n = len(dist)
+    to, size = np.arange(n), np.ones(n)
+    d = np.where(np.triu(np.ones((n, n), bool), 1), dist, np.inf)
+    near = d.argmin(1) if n else np.zeros(0, int)
+    least = d[np.arange(n), near]
+    for _ in range(n - n_clusters):
+        a = int(least.argmin())
+        if not np.isfinite(least[a]) or least[a] > limit:
+            break
+        b = int(near[a])
+        of_a, of_b = np.minimum(d[a], d[:, a]), np.minimum(d[b], d[:, b])
+        new = (size[a] * of_a + size[b] * of_b) / (size[a] + size[b])
+        new[[a, b]] = np.inf
+        d[b], d[:, b] = np.inf, np.inf
+        d[a, a + 1 :], d[:a, a] = new[a + 1 :], new[:a]
+        size[a] += size[b]
+        to[to == b] = a
+        for i in np.flatnonzero((near == a) | (near == b) | (np.arange(n) == a)):
+            near[i] = d[i].argmin()
+            least[i] = d[i, near[i]]
+        closer = np.flatnonzero((d[:a, a] < least[:a]) | ((d[:a, a] == least[:a]) & (near[:a] > a)))
+        near[closer], least[closer] = a, d[closer, a]
+        least[b] = np.inf
+    return to
+
+
 def cluster_labels(counts: dict[str, int], n_clusters: int | None = None, limit: float = 0.6) -> dict[str, str]:
     """Label -> representative. Labels that differ in case, blanks and punctuation only are one; the rest are joined by
     average linkage over the Jaccard distance of character trigrams until ``n_clusters`` are left, or the least distance exceeds
@@ -122,22 +166,12 @@ def cluster_labels(counts: dict[str, int], n_clusters: int | None = None, limit:
     groups: dict[str, list[str]] = defaultdict(list)
     for label in counts:
         groups["".join(ch for ch in label.casefold() if ch.isalnum()) or label].append(label)
-    clusters = [sorted(v) for _, v in sorted(groups.items())]
-    grams = {k: _trigrams(k) for k in groups}
     keys = sorted(groups)
-    dist = {(a, b): 1 - len(grams[keys[a]] & grams[keys[b]]) / len(grams[keys[a]] | grams[keys[b]]) for a, b in combinations(range(len(keys)), 2)}
-    members = {i: [i] for i in range(len(keys))}
-    while len(members) > 1 and dist and (n_clusters is None or len(members) > n_clusters):
-        (a, b), least = min(dist.items(), key=lambda x: (x[1], x[0]))
-        if n_clusters is None and least > limit:
-            break
-        na, nb = len(members[a]), len(members[b])
-        for c in members:
-            if c not in (a, b):
-                ka, kb = tuple(sorted((a, c))), tuple(sorted((b, c)))
-                dist[ka] = (na * dist[ka] + nb * dist[kb]) / (na + nb)
-        dist = {k: v for k, v in dist.items() if b not in k}
-        members[a] += members.pop(b)
+    clusters = [sorted(groups[k]) for k in keys]
+    merged = _average_linkage(_gram_distances(keys), n_clusters or 1, np.inf if n_clusters else limit)
+    members: dict[int, list[int]] = defaultdict(list)
+    for i, m in enumerate(merged):
+        members[m].append(i)
     out = {}
     for own in members.values():
         labels = [x for i in own for x in clusters[i]]

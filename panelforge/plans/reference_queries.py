@@ -230,9 +230,11 @@ def wave_union_by_name(spark, d):
     return reshape.union_by_name([table(spark, d, "subjects").select(F.col("row_id").alias("id"), "chid", "sex_label"), table(spark, d, "parents").select(F.col("parent_row_id").alias("id"), "first_wave")])
 
 
-@query("SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, wave ORDER BY loaded_at NULLS LAST, obs_id) AS k FROM panel_long) WHERE k = 1")
+@query("SELECT * EXCLUDE (k) REPLACE (" + ", ".join(f"{score(c)} AS {c}" for c in SCORES) + ") FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, wave ORDER BY loaded_at NULLS LAST, obs_id) AS k FROM panel_long) WHERE k = 1")
 def keep_first(spark, d):
-    return reshape.keep_first(table(spark, d, "panel_long"), ["subject_id", "wave"], ["loaded_at", "obs_id"])
+    """The row delivered first for each subject and wave, NaN as null."""
+    kept = reshape.keep_first(table(spark, d, "panel_long"), ["subject_id", "wave"], ["loaded_at", "obs_id"])
+    return kept.select(*(not_nan(F.col(c)).alias(c) if c in SCORES else c for c in kept.columns))
 
 
 @query("SELECT subject_id, wave, obs_id FROM panel_long ORDER BY subject_id NULLS FIRST, wave")
@@ -493,10 +495,9 @@ def clean_dataset(spark, d):
     return clean.clean_types(raw)
 
 
-@query("SELECT 'sex_label' AS \"column\", v AS original, arg_max(v, n) OVER (PARTITION BY lower(trim(v))) AS harmonised FROM (SELECT sex_label AS v, count(*) AS n FROM subjects WHERE length(sex_label) > 1 GROUP BY 1)")
+@query(None)
 def harmonise_mapping(spark, d):
-    long = table(spark, d, "subjects").filter("length(sex_label) > 1")
-    return clean.harmonise_categories(long, ["sex_label"])[1]
+    return clean.harmonise_categories(table(spark, d, "subjects"), ["sex_label"])[1]
 
 
 def queries():

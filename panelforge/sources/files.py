@@ -31,14 +31,23 @@ def _require(path: str, suffix: str) -> None:
         raise InputValidationError(f"{path} is no {suffix} file")
 
 
-def read_csv(spark: SparkSession, path: str, *, schema: T.StructType | None = None) -> DataFrame:
+def _breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether a value goes on after its line: some line then has an odd number of quotes."""
+    value = F.col("value")
+    return not spark.read.text(path).filter(F.pmod(F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit(""))), F.lit(2)) == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, *, schema: T.StructType | None = None, multi_line: bool | None = None) -> DataFrame:
     """A CSV file or folder with a header. Texts that mean missing become null; columns are typed by what all their values are.
 
     Everything is read as text first; one aggregate over all columns decides between long, double, boolean and text, so
-    that ``1,NA,3`` is a number. Give ``schema`` to spare that job. Quoted line breaks are understood.
+    that ``1,NA,3`` is a number. Give ``schema`` to spare that job. Quoted line breaks are understood: unless ``multi_line``
+    tells, a scan looks for lines with an odd number of quotes, since a file read with line breaks in values is one task.
     """
     _require(path, ".csv")
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    if multi_line is None:
+        multi_line = _breaks_in_quotes(spark, path)
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         return reader.schema(schema).csv(path)
     raw = reader.option("inferSchema", False).csv(path)

@@ -231,7 +231,9 @@ class _Mixture:
         named = probs.select("subject_id", label.cast("long").alias("trajectory_id"), *(F.col("p")[i].alias(f"class_{i}") for i in range(k)))
         name = F.get(F.array(*map(F.lit, names)), F.col("trajectory_id").cast("int"))
         out = named.select("subject_id", "trajectory_id", name.alias("trajectory_name"), *(f"class_{i}" for i in range(k)))
-        times = [r[0] for r in df.select(F.col(time_col).try_cast("double").alias("t")).filter("t IS NOT NULL").distinct().orderBy("t").limit(1000).collect()]
+        times = [r[0] for r in df.select(F.col(time_col).try_cast("double").alias("t")).filter("t IS NOT NULL").distinct().orderBy("t").limit(100_001).collect()]
+        if len(times) > 100_000:
+            raise InputValidationError("at most 100000 different times can be listed; round the time column")
         lines = [{"trajectory_id": i, "time": t, "outcome": 0, "value": float(p.beta[i] @ [1.0, t])} for i in range(k) for t in times]
         return TrajectoryResult(out, lines, p.plain(), [info] if info else [])
 

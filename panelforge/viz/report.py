@@ -96,11 +96,17 @@ def mean_profiles(df: DataFrame, *, id_col: str = "subject_id", time_col: str =
     return page(title, line_chart(lines, bands, _sampled(own, sample_per_trajectory, random_state)) + html_table(rows))
 
 
+ALL_CURVES = 100_000
+
+
 def class_spaghetti(df: DataFrame, *, id_col: str = "subject_id", time_col: str = "wave", value_col: str = "depressive_score", trajectory_col: str = "trajectory_id", trajectory_name_col: str | None = "trajectory_name", sample_per_trajectory: int = 100, show_mean_profile: bool = True, random_state: int = 42, title: str = "Class Spaghetti") -> str:
     own = _prepared(df, id_col, time_col, value_col, trajectory_col, trajectory_name_col)
     rows = [r.asDict() for r in class_time_profile(own, "trajectory", "time", "value").orderBy("trajectory", "time").collect()]
     names = _in_class_order(list({r["trajectory"] for r in rows}))
-    thin = _sampled(own, sample_per_trajectory or 10_000, random_state)
+    # 0 draws every curve; a page holds them all, so more than ALL_CURVES are refused
+    if not sample_per_trajectory and own.select("subject_id").distinct().limit(ALL_CURVES + 1).count() > ALL_CURVES:
+        raise InputValidationError(f"more than {ALL_CURVES} curves; give sample_per_trajectory")
+    thin = _sampled(own, sample_per_trajectory or ALL_CURVES, random_state)
     return page(title, "".join(f"<h2>{html.escape(n)}</h2>" + line_chart({n: [(r["time"], r["mean"]) for r in rows if r["trajectory"] == n] if show_mean_profile else []}, None, {n: thin.get(n, [])}) for n in names))
 
 
