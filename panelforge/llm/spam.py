@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.exprs import splittable_join
+
 URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 # targets that are no absolute address: of href attributes, and of links in brackets
 HREF = re.compile(r"""\bhref\s*=\s*["']?\s*(?!https?://|(?://)?www\.|["'\s>])\S""", re.I)
@@ -241,13 +243,14 @@ def score_lines(b: _Block, keys: np.ndarray, counts: np.ndarray, rules: SpamRule
     return words, spam
 
 
-def spam_scores(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rules: SpamRules | None = None, block_chars: int = 8_000_000) -> DataFrame:
+def spam_scores(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rules: SpamRules | None = None, block_chars: int = 8_000_000, blocks_per_sum: int = 256) -> DataFrame:
     """(doc_id, n_words, n_spam_words, spam_share) of every document.
 
     Empty and null texts have 0 words and a share of 0. Repeated rows of one id are scored apart and the largest share holds; copies of a
     text count once in the statistics and all get its score.
     A very long text is one row of its block and processed whole; blocks hold about ``block_chars`` characters, so their
-    number grows with the corpus and their size does not. Other columns are not read.
+    number grows with the corpus and their size does not. Counts of a key are summed over ``blocks_per_sum`` blocks first and
+    then over all. Other columns are not read.
     """
     rules = rules or SpamRules()
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
@@ -269,17 +272,22 @@ def spam_scores(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
             yield batch.take(pa.array(new, pa.int64()))
 
     distinct = hashed.filter("text IS NOT NULL").select("h", "h2", "text").mapInArrow(once, "h long, h2 long, text string")
-    blocked = distinct.withColumn("block", F.pmod("h", F.lit(n_blocks)).cast("int"))
-    # as many partitions as blocks, so that a task's share does not grow with the corpus
-    blocked = blocked.repartition(n_blocks, "block")
+    # one partition a block, so that a task's share does not grow with the corpus
+    blocked = distinct.withColumn("block", F.pmod("h", F.lit(n_blocks)).cast("int")).repartitionById(n_blocks, F.col("block"))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, counts = block_counts(pdf.drop_duplicates(["h", "h2"])["text"].tolist(), rules.short_line)
         return pd.DataFrame({"block": pdf["block"].iat[0], "key": keys, "n": counts})
 
     own = blocked.groupBy("block").applyInPandas(count, "block int, key long, n long")
-    # a key comes once from a block, so a group of this window has at most as many rows as there are blocks
-    global_counts = own.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).select("block", "key", "total").repartition(n_blocks, "block")
+    # a key comes once from a block, so a group of this window has at most ``blocks_per_sum`` rows, however common the key
+    part = Window.partitionBy("key", "part")
+    summed = own.withColumn("part", F.floor(F.col("block") / blocks_per_sum)).withColumn("total", F.sum("n").over(part))
+    if n_blocks > blocks_per_sum:
+        first = F.row_number().over(part.orderBy("block")) == 1
+        totals = summed.withColumn("first", first).filter("first").groupBy("key").agg(F.sum("total").alias("total"))
+        summed = splittable_join(summed.select("block", "key"), totals, ["key"])
+    global_counts = summed.select("block", "key", "total").repartitionById(n_blocks, F.col("block"))
 
     def score(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["h", "h2"])
