@@ -4,7 +4,7 @@ Every run of ``m`` neighbouring words of a test item is a test string. A Wu-Manb
 document finds all occurrences: a shift table over blocks of two words skips positions where no test string can end,
 a bucket over the hash of the words in the window selects the strings to try, and comparing the words confirms. Items
 with enough occurrences in a document are then aligned: runs of equal words are chained in the order of item and document
-across small gaps, and a chain that holds half of the item's words is a leak.
+across small gaps, and a dense chain that spans half of the item's words is a leak.
 """
 
 from __future__ import annotations
@@ -30,21 +30,23 @@ INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 @dataclass(frozen=True)
 class LeakRules:
     """``m`` words make a test string; an item is aligned when its occurrences cover ``try_share`` of it; runs of at
-    least ``run`` equal words are chained over at most ``item_gap`` and ``doc_gap`` skipped words. A leak is a chain
-    with ``share`` of the item's words (somewhat under half, as redactions hide words) that is dense: of the item's words
-    between its ends it holds ``dense`` with one run of ``dense_run`` words, or ``loose`` with one of ``loose_run``. Texts
-    that share stock phrases only make chains with many gaps and short runs."""
+    least ``run`` equal words are chained over at most ``item_gap`` and ``doc_gap`` skipped words. A leak is a chain that
+    spans ``share`` of the item's words, holds ``dense`` of those between its ends (redactions and interruptions hide the
+    rest) and one run of ``dense_run`` words; or that holds ``share`` of the item's words, ``loose`` of those between its ends and
+    one run of ``loose_run``. A chain holds ``least_words``, or the whole item where that is shorter. Texts that share stock
+    phrases only make chains with many gaps and short runs."""
 
-    m: int = 6
-    try_share: float = 0.25
+    m: int = 4
+    try_share: float = 0.4
     run: int = 3
     item_gap: int = 8
     doc_gap: int = 16
-    share: float = 0.47
-    dense: float = 0.85
-    dense_run: int = 6
+    share: float = 0.5
+    least_words: int = 6
+    dense: float = 0.8
+    dense_run: int = 4
     loose: float = 0.75
-    loose_run: int = 13
+    loose_run: int = 6
 
 
 def words_of(text: str | None) -> list[str]:
@@ -69,6 +71,9 @@ class Searcher:
         self.items = [np.array([self.ids.setdefault(w, len(self.ids)) for w in words_of(t)], np.int64) for _, t in items]
         self.sizes = np.array([len(x) for x in self.items])
         self.v = len(self.ids) + 1
+        self.mark = np.zeros(self.v, bool)  # the last place stands for words of no item
+        # items too short for a test string are compared whole
+        self.short = {n: [k for k, size in enumerate(self.sizes) if size == n] for n in range(rules.run, m) if (self.sizes == n).any()}
         windows = [(np.lib.stride_tricks.sliding_window_view(x, m), k) for k, x in enumerate(self.items) if len(x) >= m]
         rows = np.concatenate([w for w, _ in windows]) if windows else np.zeros((0, m), np.int64)
         owner = np.concatenate([np.full(len(w), k) for w, k in windows]) if windows else np.zeros(0, np.int64)
@@ -150,10 +155,11 @@ class Searcher:
             total += len(own) + 1
             bounds.append(total)
         text = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        bounds = np.array(bounds)
+        out = self._whole(text, bounds)
         start, pattern = self.occurrences(text)
         if not len(start):
-            return []
-        bounds = np.array(bounds)
+            return out
         doc = np.searchsorted(bounds, start, "right") - 1
         # each occurrence stands for one position in each item that has the string
         n = self.first[pattern + 1] - self.first[pattern]
@@ -168,63 +174,91 @@ class Searcher:
         groups, first = np.unique(group, return_index=True)
         covered = np.add.reduceat(gap, first)
         size = self.sizes[groups % len(self.items)]
-        out = []
         for g in groups[covered >= self.rules.try_share * size]:
             d, k = int(g // len(self.items)), int(g % len(self.items))
             if self.leaks(text[bounds[d] : bounds[d + 1] - 1], self.items[k]):
                 out.append((d, k))
         return out
 
+    def _whole(self, text: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+        """(index of text, index of item) where an item of fewer than ``m`` words stands whole; by direct comparison."""
+        out = set()
+        for n, own in self.short.items():
+            windows = np.lib.stride_tricks.sliding_window_view(text, n) if len(text) >= n else np.zeros((0, n), np.int64)
+            key = self._hash(windows)
+            for k in own:
+                at = np.flatnonzero(key == self._hash(self.items[k][None, :])[0])
+                at = at[(windows[at] == self.items[k]).all(1)]
+                out |= {(int(d), k) for d in np.searchsorted(bounds, at, "right") - 1}
+        return sorted(out)
+
     def leaks(self, doc: np.ndarray, item: np.ndarray) -> bool:
         """Whether a chain of equal runs, in the order of both and over small gaps only, holds enough of the item."""
         r = self.rules
         if len(item) < r.run or len(doc) < r.run:
             return False
-        at = defaultdict(list)
-        for j in range(len(item) - r.run + 1):
-            at[item[j : j + r.run].tobytes()].append(j)
-        known = np.isin(doc, item)
-        inside = np.lib.stride_tricks.sliding_window_view(known, r.run).all(1)
-        seeds = [(int(i), j) for i in np.flatnonzero(inside) for j in at.get(doc[i : i + r.run].tobytes(), ())]
-        seen = set(seeds)
-        runs = []
-        for i, j in seeds:
-            if (i - 1, j - 1) in seen:
-                continue
-            n = r.run
-            while (i + n - r.run + 1, j + n - r.run + 1) in seen:
-                n += 1
-            runs.append((i, j, n))
-        runs.sort()
-        # chains that end with each run: words, start in the item and longest run, none worse in all three than another
-        fronts: list[list[tuple[int, int, int]]] = []
+        i, j, n = self._runs(doc, item)
+        held = np.zeros(len(item) + 1, np.int64)
+        np.add.at(held, j, 1)
+        np.add.at(held, j + n, -1)
+        least = max(min(r.share * r.dense, r.share) * len(item), min(r.least_words, len(item)))
+        if (np.cumsum(held) > 0).sum() < least:
+            return False
+        runs = sorted(zip(i.tolist(), j.tolist(), n.tolist()))
+        # chains that end with each run: the most words for each start in the item and each step that the longest run has reached
+        fronts: list[dict[tuple[int, int], tuple[int, int]]] = []
         low, steps = 0, sorted((r.dense_run, r.loose_run))
         for x, (i, j, n) in enumerate(runs):
             while runs[low][0] + len(item) + r.doc_gap < i:
                 low += 1
-            chains = {(n, j, n)}
+            chains = [(n, j, n)]
             for y in range(low, x):
                 i0, j0, n0 = runs[y]
                 gi, gj = i - i0 - n0, j - j0 - n0
                 lap = max(0, -gi, -gj)
                 if i > i0 and j > j0 and gi <= r.doc_gap and gj <= r.item_gap and lap < n:
-                    chains.update((words + n - lap, start, max(longest, n)) for words, start, longest in fronts[y])
+                    chains += [(words + n - lap, start, max(longest, n)) for (start, _), (words, longest) in fronts[y].items()]
             rest = len(item) - j - n
-            kept, most = [], [0, 0, 0]
-            for words, start, longest in sorted(chains, key=lambda c: (-c[1], -c[0], -c[2])):
-                density = words / (j + n - start)
-                if words >= r.share * len(item) and (density >= r.dense and longest >= r.dense_run or density >= r.loose and longest >= r.loose_run):
-                    return True
+            kept: dict[tuple[int, int], tuple[int, int]] = {}
+            for words, start, longest in chains:
+                span = j + n - start
+                if words >= min(r.least_words, len(item)):
+                    if span >= r.share * len(item) and words >= r.dense * span and longest >= min(r.dense_run, len(item)):
+                        return True
+                    if words >= r.share * len(item) and words >= r.loose * span and longest >= r.loose_run:
+                        return True
                 # what even all the rest of the item cannot make long and dense enough is left out
-                if words + rest < r.share * len(item) or words + rest < min(r.loose, r.dense) * (len(item) - start):
+                if words + rest < least or words + rest < min(r.loose, r.dense) * (len(item) - start):
                     continue
-                rank = (longest >= steps[0]) + (longest >= steps[1])
-                if words > most[rank]:
-                    kept.append((words, start, longest))
-                    most[: rank + 1] = [max(words, m) for m in most[: rank + 1]]
+                at = start, (longest >= steps[0]) + (longest >= steps[1])
+                if at not in kept or kept[at][0] < words:
+                    kept[at] = words, longest
             fronts.append(kept)
         return False
 
+    def _runs(self, doc: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start in the document, start in the item and length of every longest run of at least ``run`` equal words."""
+        k = self.rules.run
+        self.mark[item] = True
+        known = self.mark[doc]
+        self.mark[item] = False
+        known = np.concatenate([known, [False]])
+        inside = np.flatnonzero(np.logical_and.reduce([known[x : len(doc) - k + 1 + x] for x in range(k)]))
+        own, wanted = self._hash(np.lib.stride_tricks.sliding_window_view(item, k)), self._hash(doc[inside[:, None] + np.arange(k)])
+        order = np.argsort(own, kind="stable")
+        lo, hi = np.searchsorted(own[order], wanted, "left"), np.searchsorted(own[order], wanted, "right")
+        times = hi - lo
+        i = np.repeat(inside, times)
+        j = order[np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)]
+        same = (doc[i[:, None] + np.arange(k)] == item[j[:, None] + np.arange(k)]).all(1)
+        i, j = i[same], j[same]
+        order = np.lexsort((i, i - j))
+        i, j = i[order], j[order]
+        if not len(i):
+            return i, j, i
+        first = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(i - j) != 0)])
+        return i[first], j[first], np.diff(np.r_[first, len(i)]) + k - 1
+
 
 def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple]]:
     """The items in blocks of bounded size, streamed to the driver block by block."""
@@ -240,11 +274,12 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) ->
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", rules: LeakRules | None = None, block_chars: int = 4_000_000) -> DataFrame:
-    """(doc_id, item_id) of every document that holds at least half of an item in one stretch.
+    """(doc_id, item_id) of every document that repeats at least half of an item in one stretch.
 
     Case, typography, line-end hyphens, small interruptions (page headers) and redactions do not hide a leak. Documents
     are searched whole, in one pass per block of items (``block_chars`` characters, the bound of what is sent to the
-    tasks); nothing is shuffled but the result. Null texts and ids and items of fewer than ``m`` words give nothing.
+    tasks); nothing is shuffled but the result. Items of three words must stand whole; null texts and ids give nothing, nor do items
+    of one or two words, which are no passages.
     """
     rules = rules or LeakRules()
     kinds = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
