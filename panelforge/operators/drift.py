@@ -133,14 +133,16 @@ def rename_candidates(fields: DataFrame, diff: DataFrame, mapping: DataFrame, *,
     return edges.select("file_id", "old_field", "new_field", (4 * F.col("share") + 2 * F.col("known") + likeness + 0.25 * F.coalesce(same_type, F.lit(0.0)) + 0.01).alias("weight"))
 
 
-def schema_changes(records: DataFrame, mapping: DataFrame, **options) -> DataFrame:
+def schema_changes(records: DataFrame, mapping: DataFrame, *, fields: DataFrame | None = None, **options) -> DataFrame:
     """(file_id, change_kind, old_field, new_field) of every file against the preceding file of its series.
 
     ``renamed``, ``retyped`` (kept or renamed field whose majority type differs), ``removed`` (new_field is '') and
     ``added`` (old_field is ''). A payload that is no JSON object has no fields, but its file still counts; a field whose values
-    are all null has no type and is never retyped; series of one file have no change; an empty table gives none.
+    are all null has no type and is never retyped; series of one file have no change; an empty table gives none. ``fields``
+    are the records' parsed fields (:func:`read_fields`), where a caller has them already; payloads are parsed once.
     """
-    fields = read_fields(records.filter(F.col("file_id").isNotNull()))
+    if fields is None:
+        fields = cut(read_fields(records.filter(F.col("file_id").isNotNull())))
     # written once: one row per file and field, small beside the records
     diff = cut(field_steps(cut(profile_fields(fields)), cut(file_steps(records))))
     edges = cut(rename_candidates(fields, diff, read_mapping(mapping), **options))
@@ -173,13 +175,12 @@ def schema_changes(records: DataFrame, mapping: DataFrame, **options) -> DataFra
     return simple.unionByName(retyped)
 
 
-def field_lineage(records: DataFrame, mapping: DataFrame, changes: DataFrame) -> DataFrame:
+def field_lineage(records: DataFrame, mapping: DataFrame, changes: DataFrame, fields: DataFrame) -> DataFrame:
     """(file_id, field, unified): the one name under which a field's values stand in the consistent table.
 
     A mapped field takes its canonical name (the first in the alphabet if several); any other takes the name its
     earliest ancestor in the series had, followed through renames. Works on the fields of files, not on records.
     """
-    fields = read_fields(records.filter(F.col("file_id").isNotNull()))
     present = fields.select("file_id", "dataset", "field").distinct()
     named = _canonicals(present, read_mapping(mapping)).groupBy("file_id", "field").agg(F.min("canonical").alias("canonical"))
     steps = file_steps(records).select("file_id", "cohort_id", "dataset", "file_seq")
@@ -203,17 +204,19 @@ def field_lineage(records: DataFrame, mapping: DataFrame, changes: DataFrame) ->
     return rows.groupBy("cohort_id", "dataset").applyInPandas(follow, "file_id long, field string, unified string")
 
 
-def unify_records(records: DataFrame, mapping: DataFrame, changes: DataFrame) -> DataFrame:
+def unify_records(records: DataFrame, mapping: DataFrame, changes: DataFrame | None = None) -> DataFrame:
     """All records in one table: meta columns, one text column per canonical feature, other fields in ``other_fields``.
 
     Values are written canonically (:func:`with_canonical_value`), so one feature is typed alike in every file. Two fields
     of a record under one unified name keep the value that sorts first. Records without a readable payload stay,
     with nulls. The canonical features are as many as the dictionary lists, a bound set by its width.
     """
-    lineage = cut(field_lineage(records, mapping, cut(changes)))
+    parsed = cut(read_fields(records.filter(F.col("file_id").isNotNull())))
+    if changes is None:
+        changes = schema_changes(records, mapping, fields=parsed)
+    lineage = cut(field_lineage(records, mapping, cut(changes), parsed))
     wide = sorted(r[0] for r in read_mapping(mapping).select("canonical").distinct().collect())
-    fields = read_fields(records.filter(F.col("file_id").isNotNull())).select("record_id", "file_id", "field", "canon")
-    unified = fields.join(lineage, ["file_id", "field"])
+    unified = parsed.select("record_id", "file_id", "field", "canon").join(lineage, ["file_id", "field"])
     known = F.col("unified").isin(wide)
     values = unified.groupBy("record_id").agg(
         *(F.min(F.when(F.col("unified") == c, F.col("canon"))).alias(c.lower()) for c in wide),

@@ -22,7 +22,7 @@ from panelforge.core.session import cut
 from panelforge.functions.exprs import NUMBER, NUMERIC, integral_text, not_nan, quoted, strip
 
 CODE_IN_BRACKETS = r"[\(\[\{]\s*([+-]?\d+(?:\.\d*)?)\s*[\)\]\}]"
-SEGMENT_SCHEMA = "column_name string, series long, step long, part int, seq int, n_cur long, n_prev long, vals array<double>, cur array<long>, prev array<long>"
+SEGMENT_SCHEMA = "column_name string, series long, step long, part int, seq int, n_cur long, n_prev long, n_values long, vals array<double>, cur array<long>, prev array<long>"
 
 
 def read_codebook(codebook: DataFrame, table: DataFrame) -> list[dict]:
@@ -114,9 +114,9 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for a, b in zip(starts, ends):
             cur, prev = np.cumsum(pdf["n_cur"].to_numpy()[a:b]), np.cumsum(pdf["n_prev"].to_numpy()[a:b])
-            rows.append((pdf["column_name"].iat[a], pdf["series"].iat[a], pdf["step"].iat[a], part, seq, cur[-1], prev[-1], pdf["val"].to_numpy()[a:b], cur, prev))
+            rows.append((pdf["column_name"].iat[a], pdf["series"].iat[a], pdf["step"].iat[a], part, seq, cur[-1], prev[-1], int((pdf["n_cur"].to_numpy()[a:b] > 0).sum()), pdf["val"].to_numpy()[a:b], cur, prev))
             seq += 1
-        yield pd.DataFrame(rows, columns=["column_name", "series", "step", "part", "seq", "n_cur", "n_prev", "vals", "cur", "prev"])
+        yield pd.DataFrame(rows, columns=["column_name", "series", "step", "part", "seq", "n_cur", "n_prev", "n_values", "vals", "cur", "prev"])
 
 
 def range_curves(counts: DataFrame) -> DataFrame:
@@ -195,6 +195,7 @@ def quality_profile(table: DataFrame, codebook: DataFrame, *, load: str, series:
         _quantile(0.5).alias("median"),
         _quantile(0.75).alias("q75"),
         _quantile(1.0).alias("max_value"),
+        F.sum("n_values").alias("n_values"),
         F.max(F.when((F.col("all_cur") >= min_valid) & (F.col("all_prev") >= min_valid), _distance())).alias("ks_distance"),
     )
     return basic.join(shape, ["column_name", "series", "step"], "left").select(
@@ -206,7 +207,7 @@ def quality_profile(table: DataFrame, codebook: DataFrame, *, load: str, series:
         "n_missing",
         (F.col("n_missing") / F.col("n_rows")).alias("missing_share"),
         (F.col("n_rows") - F.col("n_missing")).alias("n_valid"),
-        F.when(F.col("is_number"), F.col("n_numbers")).otherwise(F.col("n_texts")).alias("n_distinct"),
+        F.when(F.col("is_number"), F.coalesce("n_values", "n_numbers")).otherwise(F.col("n_texts")).alias("n_distinct"),
         "min_value",
         "q25",
         "median",

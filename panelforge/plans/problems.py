@@ -17,8 +17,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
-    records, mapping = table(spark, d, "raw_records"), table(spark, d, "feature_mapping")
-    return drift.unify_records(records, mapping, drift.schema_changes(records, mapping))
+    return drift.unify_records(table(spark, d, "raw_records"), table(spark, d, "feature_mapping"))
+
+
+def p1_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of every file: values, nulls and the type of most values."""
+    records = table(spark, d, "raw_records").filter(F.col("file_id").isNotNull())
+    return drift.profile_fields(drift.read_fields(records))
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -75,5 +80,13 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return references.reference_report(checked, ["table_name", "ref_name", "period"])
 
 
+def p3_partial(spark: SparkSession, d: str) -> DataFrame:
+    """References of child_parent_link to parents with null parts, each mask matched on its non-null columns."""
+    parents = table(spark, d, "parents").select(family_key(F.col("mcsid")).alias("family"), F.when(F.col("pnum") > 0, F.col("pnum")).alias("number"))
+    link = table(spark, d, "child_parent_link").select("link_id", family_key(F.col("mcsid")).alias("family"), F.when(F.col("pnum") > 0, F.col("pnum")).alias("parent"))
+    checked = references.check_references(link, ["family", "parent"], parents, ["family", "number"], match="partial")
+    return checked.select("link_id", F.col("family").isNull().alias("no_family"), F.col("parent").isNull().alias("no_number"), "cause")
+
+
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_unified, p2_found, p2_profile, p3_found, p3_report)}
+    return {f.__name__: f for f in (p1_found, p1_fields, p1_unified, p2_found, p2_profile, p3_found, p3_partial, p3_report)}

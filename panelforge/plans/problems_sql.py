@@ -78,5 +78,23 @@ P2_FOUND = (
 )
 
 
+P3_PARTIAL = f"""
+WITH p AS (SELECT {_FAMILY.format('mcsid')} AS family, CASE WHEN pnum > 0 THEN pnum END AS number FROM parents),
+l AS (SELECT link_id, {_FAMILY.format('mcsid')} AS family, CASE WHEN pnum > 0 THEN pnum END AS parent FROM child_parent_link)
+SELECT link_id, family IS NULL AS no_family, parent IS NULL AS no_number, CASE
+  WHEN family IS NULL AND parent IS NULL THEN 'absent'
+  WHEN family IS NULL THEN CASE WHEN parent IN (SELECT number FROM p WHERE number IS NOT NULL) THEN 'none' ELSE 'missing' END
+  WHEN parent IS NULL THEN CASE WHEN family IN (SELECT family FROM p WHERE family IS NOT NULL) THEN 'none' ELSE 'missing' END
+  WHEN (family, parent) IN (SELECT (family, number) FROM p WHERE family IS NOT NULL AND number IS NOT NULL) THEN 'none' ELSE 'missing' END AS cause
+FROM l"""
+
+P1_FIELDS = """
+WITH r AS (SELECT file_id, payload FROM raw_records WHERE file_id IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+k AS (SELECT file_id, payload, unnest(json_keys(payload)) AS field FROM r),
+t AS (SELECT file_id, field, json_type(json_extract(payload, '$."' || field || '"')) AS j FROM k),
+n AS (SELECT file_id, field, CASE WHEN j IN ('UBIGINT', 'BIGINT', 'HUGEINT') THEN 'integer' WHEN j = 'DOUBLE' THEN 'decimal' WHEN j = 'VARCHAR' THEN 'text' WHEN j = 'BOOLEAN' THEN 'true/false' WHEN j = 'ARRAY' THEN 'list' WHEN j = 'OBJECT' THEN 'object' END AS type, count(*) AS n FROM t GROUP BY 1, 2, 3)
+SELECT file_id, field, CAST(coalesce(sum(n) FILTER (type IS NOT NULL), 0) AS bigint) AS n_values, CAST(coalesce(sum(n) FILTER (type IS NULL), 0) AS bigint) AS n_nulls, arg_min(type, (-n, type)) FILTER (type IS NOT NULL) AS type FROM n GROUP BY 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p2_profile": P2_PROFILE, "p3_found": P3_FOUND, "p3_report": P3_REPORT}
+    return {"p1_fields": P1_FIELDS, "p3_partial": P3_PARTIAL, "p2_found": P2_FOUND, "p2_profile": P2_PROFILE, "p3_found": P3_FOUND, "p3_report": P3_REPORT}
